@@ -1 +1,8 @@
 """Point-in-time quote analytics and tick data preparation on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

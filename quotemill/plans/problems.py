@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.operators.bad_rows import loaded_lines, rejected_lines
 from quotemill.operators.grid import regular_grid
 from quotemill.operators.implausible import flag_implausible
 from quotemill.operators.runs import collapse_runs
+from quotemill.operators.stamps import normalise_stamps
 from quotemill.session import table
 
 
@@ -47,4 +49,32 @@ def p3_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _grid(spark, folder).select("export_id", "bucket_start_us", "tick_count", "maximum_intertick_seconds", "status", "since_last_tick_us")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_runs, p3_found, p3_grid)}
+def _lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "raw_tick_lines"), table(spark, folder, "raw_tick_files")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return rejected_lines(*_lines(spark, folder)).select("file_id", "source_row")
+
+
+def p4_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return rejected_lines(*_lines(spark, folder))
+
+
+def p4_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    return loaded_lines(*_lines(spark, folder))
+
+
+def _stamps(spark: SparkSession, folder: str) -> DataFrame:
+    return normalise_stamps(table(spark, folder, "raw_tick_stamps"), table(spark, folder, "raw_tick_files"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _stamps(spark, folder).where(F.col("utc_us").isNotNull()).select("record_id", "utc_us")
+
+
+def p5_stamps(spark: SparkSession, folder: str) -> DataFrame:
+    return _stamps(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_runs, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
