@@ -14,3 +14,43 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def as_of_latest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, rank: list[str], value: list[str], inclusive: bool = True) -> DataFrame:
+    """Add to each left row the right row of highest ``rank`` among those visible by its time.
+
+    A late arrival of an older rank doesn't replace a newer one. One shuffle: both sides are united, ordered by time, and the
+    running maximum of (rank, value) is read at the left rows. Null where nothing is visible.
+    """
+    best = F.struct(*rank, *[v for v in value if v not in rank])
+    first, second = (1, 0) if inclusive else (0, 1)  # at equal times
+    lefts = left.select(*keys, F.col(left_time).alias("_time"), F.lit(first).alias("_side"), F.struct(*left.columns).alias("_row"))
+    rights = right.select(*keys, F.col(right_time).alias("_time"), F.lit(second).alias("_side"), best.alias("_best"))
+    w = Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    d = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_seen", F.max("_best").over(w))
+    return d.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_seen.{v}").alias(v) for v in value])
+
+
+def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
+    """Join points to the half-open ranges that hold them, by an equi-join on time slots of ``width``.
+
+    A range is repeated once per slot it touches, so width should be of the order of the ranges' length.
+    """
+    slots = F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor((F.col(end) - 1) / F.lit(width)))
+    r = ranges.where(F.col(start) < F.col(end)).withColumn("_slot", F.explode(slots))
+    p = points.withColumn("_slot", F.floor(F.col(point) / F.lit(width)))
+    condition = [p[k] == r[k] for k in [*keys, "_slot"]] + [p[point] >= r[start], p[point] < r[end]]
+    return p.join(r, condition, how).select(*[p[c] for c in points.columns], *[r[c] for c in ranges.columns if c not in keys])
+
+
+def merge_intervals(ranges: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Overlapping or touching ranges of a key united; empty and null ones are left out."""
+    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce((F.col(start) > F.max(end).over(w)).cast("int"), F.lit(1))
+    d = ranges.where(F.col(start) < F.col(end)).withColumn("_new", new).withColumn("_island", F.sum("_new").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def set_difference_both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of one side only, with ``side`` left or right; equal inputs give none."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
