@@ -108,7 +108,7 @@ def distinct_forms(documents: DataFrame) -> DataFrame:
 
 
 def normalise_texts(documents: DataFrame) -> DataFrame:
-    """Documents with their text in one form (column form), all columns kept.
+    """Documents with their text in one form (column form), all other columns kept.
 
     Texts that look alike have equal forms; texts that a reader can tell apart keep different ones. Case, accents, digits,
     punctuation and the number of blanks count; CR LF counts as a line end. Pure ASCII stays as it is. A null text has a
@@ -117,7 +117,7 @@ def normalise_texts(documents: DataFrame) -> DataFrame:
     forms = distinct_forms(documents).withColumnRenamed("key", "_key").withColumnRenamed("form", "_form")
     keyed = documents.withColumn("_key", _key(F.col("text")))
     joined = salted_join(keyed, forms, ["_key"], F.monotonically_increasing_id())
-    return joined.select(*documents.columns, F.coalesce("_form", "text").alias("form"))
+    return joined.select(*[c for c in documents.columns if c != "form"], F.coalesce("_form", "text").alias("form"))
 
 
 def lookalike_pairs(documents: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def plan_mix(target: np.ndarray, repeats: np.ndarray, tokens: np.ndarray, budget
         exponent = max(exponent, bisect(lambda x: fits(tempered(target, share, x), budget)))
     w = tempered(target, share, exponent)
     on = w > 0
-    largest = int(np.floor((most[on] / w[on]).min())) if on.any() else 0
+    largest = int(np.floor((most[on] / w[on]).min() + 1e-3)) if on.any() else 0
     return w, exponent, largest if budget is None else min(budget, largest)
 
 
