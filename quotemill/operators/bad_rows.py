@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.joins import salted_join
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}$"
-TIME = r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,3})?$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+DATE = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}\z"
+TIME = r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,3})?\z"
 FLAG_BITS = 2 + 4 + 8 + 16 + 32 + 64
 COLUMNS = ("date", "time", "bid", "ask", "last", "volume", "flags")
 
 
 def _unquoted(field: Column) -> Column:
     """The content of a field that double quotes enclose, else the field."""
-    return F.when(field.rlike(r'^"[^"]*"$'), field.substr(F.lit(2), F.length(field) - 2)).otherwise(field)
+    return F.when(field.rlike(r'^"[^"]*"\z'), field.substr(F.lit(2), F.length(field) - 2)).otherwise(field)
 
 
 def split_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def split_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     The header line's delimiter is the tab if it holds one, else the comma. A file without a header line takes the names
     and the delimiter of ``files``. A final carriage return and, on a header, a byte-order mark are taken off.
     """
-    body = F.regexp_replace("line", "\r$", "")
+    body = F.regexp_replace("line", r"\r\z", "")
     head = lines.where((F.col("source_row") == 1) & F.col("line").isNotNull() & F.col("file_id").isNotNull()).select("file_id", F.regexp_replace(body, "^﻿", "").alias("head"))
     head = head.groupBy("file_id").agg(F.min("head").alias("head"))
     known = files.where("file_id is not null").groupBy("file_id").agg(F.min("delimiter").alias("stated"), F.min("column_names").alias("stated_names"))
@@ -55,7 +55,7 @@ def invalid_reason(kind: Column, value: Column) -> Column:
     """Why a value is none of its column's, or null if it is. Unknown columns take any value."""
     number = F.when(value.rlike(NUMBER), value).cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
-    flags = F.when(value.rlike("^[0-9]{1,3}$"), value).cast("int")
+    flags = F.when(value.rlike(r"^[0-9]{1,3}\z"), value).cast("int")
     price = F.when(~value.rlike(NUMBER), "not a number").when(~finite, "not finite").when(number <= 0, "not positive")
     size = F.when(value == "", None).when(~value.rlike(NUMBER), "not a number").when(~finite, "not finite").when(number < 0, "negative")
     return (
@@ -81,7 +81,7 @@ def check_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     cells = cells.where(F.col("kind").isin(*COLUMNS))
     dictionary = cells.select("kind", "value").distinct().withColumn("why", invalid_reason(F.col("kind"), F.col("value"))).where("why is not null")
     wrong = cells.join(dictionary, ["kind", "value"]).groupBy("file_id", "source_row").agg(F.min_by(F.concat("kind", F.lit(": "), "why"), "at").alias("value_reason"))
-    stray = F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"$'))
+    stray = F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"\z'))
     field = lambda name: F.try_element_at("fields", F.array_position("names", F.lit(name)).cast("int"))
     both = F.col("names").isNotNull() & F.array_contains("names", "bid") & F.array_contains("names", "ask")
     crossed = F.when(both & F.col("count_ok") & F.col("value_reason").isNull(), field("ask").try_cast("double") < field("bid").try_cast("double"))

@@ -19,7 +19,7 @@ ABBREVIATIONS = {
     "CST": {"America": -360, "Asia": 480}, "IST": {"Asia": 330, "Europe": 60}, "BST": {"Europe": 60, "Asia": 360},
 }
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{3,4})?$"
+ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{3,4})?\z"
 # name, pattern, groups of (year, month, day, hour, minute, second, fraction, half of the day, zone); 0: none
 FORMATS = (
     ("ymd", r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})[T ]" + CLOCK + ZONE, (1, 3, 4, 5, 6, 7, 8, 0, 9)),
@@ -28,9 +28,9 @@ FORMATS = (
     ("month_name_first", r"^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 1, 2, 4, 5, 6, 7, 8, 9)),
     ("slash_day_first", r"^(\d{1,2})/(\d{1,2})/(\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 2, 1, 4, 5, 6, 7, 8, 9)),
     ("slash_month_first", r"^(\d{1,2})/(\d{1,2})/(\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 1, 2, 4, 5, 6, 7, 8, 9)),
-    ("epoch", r"^(\d{9,10})(?:\.(\d{1,9}))?$", None),
-    ("epoch_ms", r"^(\d{12,13})$", None),
-    ("epoch_us", r"^(\d{15,16})$", None),
+    ("epoch", r"^(\d{9,10})(?:\.(\d{1,9}))?\z", None),
+    ("epoch_ms", r"^(\d{12,13})\z", None),
+    ("epoch_us", r"^(\d{15,16})\z", None),
 )
 SLASHED = (4, 5)
 EPOCH = 6

@@ -79,4 +79,26 @@ def p5_stamps(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_runs, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
 
-SQL: dict[str, str] = {}
+Q = 900_000_000
+RUNS = """WITH t AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks), o AS (SELECT t.*, price_tick/2 h, row_number() OVER w rn, lag(bid) OVER w pb, lag(ask) OVER w pa FROM t LEFT JOIN feeds USING (feed_id) WINDOW w AS (PARTITION BY export_id ORDER BY ts, source_row)),
+g AS (SELECT *, sum(CASE WHEN isfinite(bid) AND isfinite(ask) AND isfinite(pb) AND isfinite(pa) AND abs(bid-pb)<h AND abs(ask-pa)<h THEN 0 ELSE 1 END) OVER (PARTITION BY export_id ORDER BY rn) k FROM o),
+r AS (SELECT export_id, arg_min(tick_id, rn) first_tick_id, arg_max(tick_id, rn) last_tick_id, count(*) n_ticks, max(epoch_us(ts))-min(epoch_us(ts)) duration_us FROM g GROUP BY export_id, k HAVING count(*)>1)"""
+GRID = f"""WITH t AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks), b AS (SELECT export_id, s, count(*) n, max(u) last_us, max(gap) mg FROM (SELECT export_id, epoch_us(ts) u, epoch_us(ts)//{Q}*{Q} s, epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY export_id, epoch_us(ts)//{Q} ORDER BY ts, source_row)) gap FROM t) GROUP BY 1,2),
+g AS (SELECT export_id, calendar_id, unnest(generate_series((epoch_us(coverage_start)+{Q - 1})//{Q}*{Q}, epoch_us(coverage_end)//{Q}*{Q}-{Q}, {Q})) s FROM tick_exports),
+r AS (SELECT g.export_id, g.s bucket_start_us, coalesce(n,0) tick_count, CASE WHEN n>1 THEN mg/1e6 END maximum_intertick_seconds, CASE WHEN n>0 THEN 'observed' WHEN EXISTS (SELECT 1 FROM session_closures c WHERE c.calendar_id=g.calendar_id AND epoch_us(closure_start)<=g.s AND epoch_us(closure_end)>=g.s+{Q}) THEN 'closed' ELSE 'missing' END status,
+CASE WHEN n IS NULL THEN g.s-max(last_us) OVER (PARTITION BY g.export_id ORDER BY g.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END since_last_tick_us FROM g LEFT JOIN b ON b.export_id=g.export_id AND b.s=g.s)"""
+NUMBER = "'[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'"
+LINES = f"""WITH h AS (SELECT file_id, regexp_replace(regexp_replace(line, '\\r$', ''), '^\\x{{FEFF}}', '') head FROM raw_tick_lines WHERE source_row=1),
+l AS (SELECT r.file_id, source_row, CASE WHEN contains(head, chr(9)) THEN chr(9) ELSE ',' END d, head, regexp_replace(line, '\\r$', '') body FROM raw_tick_lines r JOIN h USING (file_id) WHERE source_row>=2),
+f AS (SELECT file_id, source_row, len(string_split(head, d)) n, list_transform(string_split(body, d), lambda x: CASE WHEN regexp_full_match(x, '"[^"]*"') THEN x[2:-2] ELSE x END) v FROM l),
+c AS (SELECT *, try_cast(v[3] AS DOUBLE) bid, try_cast(v[4] AS DOUBLE) ask, try_cast(v[5] AS DOUBLE) lst, try_cast(v[6] AS DOUBLE) vol FROM f),
+k AS (SELECT file_id, source_row, coalesce(len(v)=n AND regexp_full_match(v[1], '[0-9]{{4}}\\.[0-9]{{2}}\\.[0-9]{{2}}') AND try_cast(replace(v[1], '.', '-') AS DATE) IS NOT NULL AND regexp_full_match(v[2], '([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]{{1,3}})?')
+AND regexp_full_match(v[3], {NUMBER}) AND regexp_full_match(v[4], {NUMBER}) AND isfinite(bid) AND isfinite(ask) AND bid>0 AND ask>=bid AND (v[5]='' OR regexp_full_match(v[5], {NUMBER}) AND isfinite(lst) AND lst>=0) AND (v[6]='' OR regexp_full_match(v[6], {NUMBER}) AND isfinite(vol) AND vol>=0)
+AND (n<7 OR regexp_full_match(v[7], '[0-9]{{1,3}}') AND try_cast(v[7] AS INT) & ~126 = 0), false) valid FROM c)"""
+SQL: dict[str, str] = {
+    "p2_found": RUNS + " SELECT first_tick_id, last_tick_id FROM r",
+    "p2_runs": RUNS + " SELECT * FROM r",
+    "p3_found": GRID + " SELECT export_id, bucket_start_us FROM r WHERE status='missing'",
+    "p3_grid": GRID + " SELECT * FROM r",
+    "p4_found": LINES + " SELECT file_id, source_row FROM k WHERE NOT valid",
+}
