@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,39 +84,54 @@ def parsed_stamps(stamps: DataFrame) -> DataFrame:
     return rows.select("record_id", "file_id", "raw_timestamp", readings.alias("readings"), F.when(F.col("kind") < EPOCH, token(10)).otherwise("").alias("zone_text"), F.col("kind").isNotNull().alias("matched")).withColumn("signature", bits)
 
 
-def mixture_weights(signatures: np.ndarray, counts: np.ndarray, order: str | None, rounds: int = 200) -> np.ndarray:
-    """Expectation-maximisation for one source's format weights.
+def mixture_weights(signatures: np.ndarray, counts: np.ndarray, orders: np.ndarray, source: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Expectation-maximisation for the format weights of several sources at once; one row of weights per source.
 
-    A value gives likelihood 1 under each format in which it is a valid reading. A stated order of slashed dates has the
-    other order's weight at 0. Counts enter as signatures (bits of the valid formats) with their number.
+    A value gives likelihood 1 under each format in which it is a valid reading. Counts enter as signatures (bits of the valid
+    formats) with their number; source is the number of each row's source, 0 and up without gaps. orders has per source the
+    stated order of slashed dates, ``day``, ``month`` or None: the other order's weight is 0.
     """
-    k = len(FORMATS)
+    k, n = len(FORMATS), len(orders)
     can = (signatures[:, None] >> np.arange(k) & 1).astype(float)
-    allowed = np.ones(k)
-    if order == "day":
-        allowed[SLASHED[1]] = 0
-    if order == "month":
-        allowed[SLASHED[0]] = 0
-    weights = allowed / allowed.sum()
+    allowed = np.ones((n, k))
+    allowed[orders == "day", SLASHED[1]] = 0
+    allowed[orders == "month", SLASHED[0]] = 0
+    weights = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(rounds):
-        joint = can * weights
+        joint = can * weights[source]
         total = joint.sum(axis=1, keepdims=True)
-        share = np.divide(joint, total, out=np.zeros_like(joint), where=total > 0)
-        mass = (share * counts[:, None]).sum(axis=0) * allowed + 1e-9 * allowed
-        new = mass / mass.sum()
-        if np.abs(new - weights).max() < 1e-12:
-            break
+        share = np.divide(joint, total, out=np.zeros_like(joint), where=total > 0) * counts[:, None]
+        mass = np.stack([np.bincount(source, share[:, f], n) for f in range(k)], axis=1) * allowed + 1e-9 * allowed
+        new = mass / mass.sum(axis=1, keepdims=True)
+        done = np.abs(new - weights).max() < 1e-12
         weights = new
+        if done:
+            break
     return weights
 
 
 WEIGHTS_DDL = "file_id long, weights array<double>"
 
 
-def _weights_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    # Unreadable values have signature 0 and no part in it. A filter before would be pushed below the parsing and repeat it.
-    w = mixture_weights(pdf.signature.to_numpy(), pdf.n.to_numpy(), pdf.slash_order.iloc[0])
-    return pd.DataFrame({"file_id": [pdf.file_id.iloc[0]], "weights": [w.tolist()]})
+def _weights_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weights of the sources of one partition, which is ordered by file_id; a source cut by a batch's end waits for the next."""
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        source, files = pd.factorize(pdf.file_id)
+        orders = pdf.slash_order.to_numpy(dtype=object)[np.unique(source, return_index=True)[1]]
+        w = mixture_weights(pdf.signature.to_numpy(), pdf.n.to_numpy(), orders, source)
+        return pd.DataFrame({"file_id": files, "weights": list(w)})
+
+    held = None
+    for pdf in frames:
+        pdf = pdf if held is None else pd.concat([held, pdf])
+        if len(pdf):
+            cut = (pdf.file_id != pdf.file_id.iloc[-1]).to_numpy()
+            held, ready = pdf[~cut], pdf[cut]
+            if len(ready):
+                yield solved(ready)
+    if held is not None and len(held):
+        yield solved(held)
 
 
 def known_zones(spark: SparkSession) -> list[str]:
@@ -176,7 +193,9 @@ def normalise_stamps(stamps: DataFrame, files: DataFrame, certainty: float = 0.9
     parsed = parsed_stamps(stamps)
     rules = read_rules(files)
     seen = parsed.where(F.col("file_id").isNotNull()).groupBy("file_id", "signature").agg(F.count("*").alias("n"))
-    weights = seen.join(rules.select("file_id", "slash_order"), "file_id", "left").groupBy("file_id").applyInPandas(_weights_of, WEIGHTS_DDL)
+    # Unreadable values have signature 0 and no part in it. A filter on it would be pushed below the parsing and repeat it.
+    stated = seen.join(rules.select("file_id", "slash_order"), "file_id", "left")
+    weights = stated.repartition("file_id").sortWithinPartitions("file_id", "signature").mapInPandas(_weights_of, WEIGHTS_DDL)
     layout = rules.join(weights, "file_id", "full")
     rows = salted_join(parsed, layout, ["file_id"], F.col("record_id"))
     even = F.array(*[F.lit(1.0)] * len(FORMATS))

@@ -103,7 +103,7 @@ def test_mixture_resolves_slashes_by_their_source(spark):
 
 
 def test_weights_sum_to_one():
-    w = mixture_weights(np.array([1 << SLASHED[0] | 1 << SLASHED[1], 1 << SLASHED[0], 1]), np.array([5, 3, 2]), None)
+    w = mixture_weights(np.array([1 << SLASHED[0] | 1 << SLASHED[1], 1 << SLASHED[0], 1]), np.array([5, 3, 2]), np.array([None], object), np.zeros(3, int))[0]
     assert len(w) == len(FORMATS) and abs(w.sum() - 1) < 1e-9 and abs(w[SLASHED[0]] - 0.8) < 1e-6
 
 
