@@ -17,13 +17,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.operators.shards import Piece, ordered_ticks, pieces
@@ -38,8 +39,8 @@ BINS_PER_OCTAVE = 16
 class SpikePolicy:
     """threshold: standard deviations of the innovation. max_spike: ticks that a spike may last. context: ticks read
     on either side of a shard's edge, half of which are decided there. repeat_chance: chance that ordinary repeats make a
-    stretch as long as a stuck one. max_sources_sent: up to so many sources, their five numbers a side are sent to
-    all tasks; beyond it they are joined to the ticks instead."""
+    stretch as long as a stuck one. max_sources_sent: up to so many sources, their three numbers a side are sent to
+    all tasks; more sources are split by hash into parts of about half as many, one pass each."""
 
     threshold: float = 14.0
     max_spike: int = 5
@@ -219,7 +220,7 @@ def flag_shard(param_of, policy: SpikePolicy):
         for p in pieces(batches):
             n = len(p)
             param = param_of(p)
-            reasons = np.full(n, None, object)
+            stuck = np.zeros(n, bool)
             inner = np.ones(n, bool)
             head, tail = min(c // 2, n // 2) if p.first else 0, min(c // 2, n - n // 2) if p.last else 0
             inner[:head] = False
@@ -236,24 +237,22 @@ def flag_shard(param_of, policy: SpikePolicy):
                 if p.last:
                     edge[k - 1] = WHOLE if p.first and k == 1 else LAST
                 for r in np.flatnonzero(ok[starts] & ((lengths >= length) & (edge < 0))):
-                    reasons[starts[r] : starts[r] + lengths[r]] = "stuck"
+                    stuck[starts[r] : starts[r] + lengths[r]] = True
                 for r in np.flatnonzero(edge >= 0):
                     a, m = int(starts[r]), int(lengths[r])
                     summary = {"shard": p.shard, "edge": int(edge[r]), "side": side, "export_id": p.export_id, "feed_id": p.feed_id}
                     yield _rows(kind=RUN, bid=[values[a] if ok[a] else None], n=[m], first_id=[int(p.tick_id[a])], last_id=[int(p.tick_id[a + m - 1])], **summary)
                     if ok[a]:
                         yield _rows(kind=PENDING, tick_id=p.tick_id[a : a + m], **summary)
-            reasons[_spike_mask(p, param, policy.max_spike) & inner] = "spike"
-            reasons[impossible(p)] = "impossible"
-            at = np.flatnonzero(reasons != None)  # noqa: E711
-            if len(at):
-                yield _rows(kind=FLAG, tick_id=p.tick_id[at], reason=reasons[at].tolist())
+            for reason, mask in (("impossible", impossible(p)), ("spike", _spike_mask(p, param, policy.max_spike) & inner), ("stuck", stuck)):
+                if mask.any():
+                    yield _rows(kind=FLAG, tick_id=p.tick_id[mask], reason=reason)
             for on, edge, a, b, mine in ((p.first, FIRST, 0, min(c, n), slice(0, head)), (p.last, LAST, max(0, n - c), n, slice(n - tail, n))):
                 if on and n:
                     owned = np.zeros(n, bool)
                     owned[mine] = True
                     yield _rows(
-                        kind=EDGE, shard=p.shard if edge == LAST else p.shard - 1, edge=edge, export_id=p.export_id, feed_id=p.feed_id, pos=np.arange(a, b, dtype=np.int32), tick_id=p.tick_id[a:b], owned=owned[a:b],
+                        kind=EDGE, shard=p.shard, edge=edge, export_id=p.export_id, feed_id=p.feed_id, pos=np.arange(a, b, dtype=np.int32), tick_id=p.tick_id[a:b], owned=owned[a:b],
                         bid=p.bid[a:b], ask=p.ask[a:b], has_bid=p.has_bid[a:b], has_ask=p.has_ask[a:b],
                     )
 
@@ -315,10 +314,14 @@ def flag_implausible(ticks: DataFrame, policy: SpikePolicy = SpikePolicy()) -> D
     spark = ticks.sparkSession
     ordered = ordered_ticks(ticks).persist(StorageLevel.DISK_ONLY)
     params = stored(source_parameters(ordered, policy), "implausible-params")
-    if params.count() <= 2 * policy.max_sources_sent:
-        known = {(r.feed_id, r.side): (r.gain, r.gate, r.stuck_length) for r in params.collect()}
-    else:
-        raise ValueError("more sources than max_sources_sent; raise it or split the table by source")
+    n_sources = params.select("feed_id").distinct().count()
+    if n_sources > policy.max_sources_sent:  # too many to send at once: the sources in parts, each with its own ticks
+        ordered.unpersist()
+        parts = 2 * -(-n_sources // policy.max_sources_sent)
+        part = F.pmod(F.xxhash64("feed_id"), F.lit(parts))
+        one = replace(policy, max_sources_sent=n_sources)
+        return reduce(DataFrame.unionByName, [flag_implausible(ticks.where(part == k), one) for k in range(parts)])
+    known = {(r.feed_id, r.side): (r.gain, r.gate, r.stuck_length) for r in params.collect()}
     sent = spark.sparkContext.broadcast(known)
 
     def param_of(_: Piece) -> dict:
@@ -328,7 +331,11 @@ def flag_implausible(ticks: DataFrame, policy: SpikePolicy = SpikePolicy()) -> D
     ordered.unpersist()
     pending = out.where(F.col("kind") == PENDING).select("tick_id", "shard", "edge", "side")
     stuck = out.where(F.col("kind") == RUN).select("shard", "edge", "side", "export_id", "feed_id", "bid", "n", "first_id", "last_id").groupBy("export_id", "side").applyInPandas(_merge_runs(param_of), "shard int, edge int, side int")
-    at_edges = out.where(F.col("kind") == EDGE).select("shard", "edge", "export_id", "feed_id", "pos", "owned", "tick_id", "bid", "ask", "has_bid", "has_ask").groupBy("shard").applyInPandas(_edge_spikes(param_of, policy), "tick_id long")
+    edges = out.where(F.col("kind") == EDGE).select("shard", "edge", "export_id", "feed_id", "pos", "owned", "tick_id", "bid", "ask", "has_bid", "has_ask")
+    # The edge before a shard belongs to the last shard before it that holds ticks; the list has a row per shard.
+    before = edges.select("shard").distinct().withColumn("before", F.coalesce(F.lag("shard").over(Window.orderBy("shard")), F.lit(-1)))
+    edges = edges.join(before, "shard").withColumn("shard", F.when(F.col("edge") == FIRST, F.col("before")).otherwise(F.col("shard"))).drop("before")
+    at_edges = edges.groupBy("shard").applyInPandas(_edge_spikes(param_of, policy), "tick_id long")
     return (
         out.where(F.col("kind") == FLAG)
         .select("tick_id", "reason")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -130,7 +131,7 @@ def _merge_edges(limit_of: dict, time_limit_us: int | None):
 MAX_FEEDS_SENT = 50_000
 
 
-def collapse_runs(ticks: DataFrame, feeds: DataFrame, time_limit_us: int | None = None) -> DataFrame:
+def collapse_runs(ticks: DataFrame, feeds: DataFrame, time_limit_us: int | None = None, max_feeds_sent: int = MAX_FEEDS_SENT) -> DataFrame:
     """One row per maximal run of two or more consecutive ticks that say the same bid and ask.
 
     Neighbours of an export, ordered by (ts, source_row), say the same if each side moves by less than half the feed's
@@ -138,9 +139,13 @@ def collapse_runs(ticks: DataFrame, feeds: DataFrame, time_limit_us: int | None
     run and ends one. Copies of a tick count once. A feed that ``feeds`` lacks, or whose price_tick is null or not
     positive, has no runs. Null keys sort first; an empty table gives an empty result.
     """
-    steps = feeds.where(F.col("price_tick") > 0).groupBy("feed_id").agg(F.max("price_tick").alias("step")).limit(MAX_FEEDS_SENT + 1).collect()
-    if len(steps) > MAX_FEEDS_SENT:
-        raise ValueError("more feeds than MAX_FEEDS_SENT; call once per part of the feeds")
+    stepped = feeds.where(F.col("price_tick") > 0).groupBy("feed_id").agg(F.max("price_tick").alias("step"))
+    n_feeds = stepped.count()
+    if n_feeds > max_feeds_sent:  # too many to send at once: the feeds in parts, each with its own ticks
+        parts = 2 * -(-n_feeds // max_feeds_sent)
+        part = F.pmod(F.xxhash64("feed_id"), F.lit(parts))
+        return reduce(DataFrame.unionByName, [collapse_runs(ticks.where(part == k), feeds.where(part == k), time_limit_us, n_feeds) for k in range(parts)])
+    steps = stepped.collect()
     limit_of = {r.feed_id: r.step / 2 for r in steps}
     found = stored(ordered_ticks(ticks).mapInArrow(runs_of_shard(limit_of, time_limit_us), RUN_DDL), "runs", "edge")
     inner = found.where(F.col("edge") == INNER).select("export_id", "feed_id", "first_tick_id", "last_tick_id", F.col("n").alias("n_ticks"), "first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"))
