@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.grid import PERIOD_US, merged_closures, period_summaries
-from quotemill.operators.joins import merge_intervals
+from quotemill.operators.joins import interval_join, merge_intervals
 from quotemill.operators.shards import micros
 
 
@@ -57,3 +57,15 @@ def open_time(spans: DataFrame, closures: DataFrame, start: str, end: str, width
     part = F.greatest(F.lit(0), F.least(end, "c_end", high) - F.greatest(start, "c_start", low))
     lost = s.join(c, ["calendar_id", "slot"]).groupBy("span_id").agg(F.sum(part).alias("closed_us"))
     return spans.join(lost, "span_id", "left").withColumn("open_us", F.col(end) - F.col(start) - F.coalesce("closed_us", F.lit(0))).drop("closed_us")
+
+
+def in_closures(points: DataFrame, closures: DataFrame, point: str, width_us: int = 24 * 3_600_000_000) -> DataFrame:
+    """Points (with calendar_id) inside the united closures of their calendar, with the closure's start_us and end_us."""
+    united = merge_intervals(merged_closures(closures), ["calendar_id"], "start_us", "end_us")
+    return interval_join(points, united, ["calendar_id"], point, "start_us", "end_us", width_us)
+
+
+def next_open(points: DataFrame, closures: DataFrame, point: str) -> DataFrame:
+    """Add next_open_us: the point itself, or the end of the united closure that holds it. Needs a unique key point_id."""
+    held = in_closures(points, closures, point).select("point_id", F.col("end_us").alias("closed_until_us"))
+    return points.join(held, "point_id", "left").withColumn("next_open_us", F.coalesce("closed_until_us", point)).drop("closed_until_us")

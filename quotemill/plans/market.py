@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.operators import bars as B
 from quotemill.operators import indicators as I
 from quotemill.operators import joins as J
+from quotemill.operators import levels as L
 from quotemill.operators import sessions as S
 from quotemill.operators import zones as Z
 from quotemill.session import table
@@ -459,3 +460,49 @@ def calendar_open_time(spark, folder):
 @query("SELECT o_orderpriority, o_orderstatus, count(*) n, min(o_totalprice) lowest FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
 def cube_counts(spark, folder):
     return table(spark, folder, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lowest"))
+
+
+@query(f"WITH {DISTINCT_TICKS}, {MERGED}, e AS (SELECT DISTINCT export_id, calendar_id FROM tick_exports) SELECT x.export_id, count(*) n_ticks FROM x JOIN e USING (export_id) JOIN mc ON mc.calendar_id=e.calendar_id AND epoch_us(ts)>=a AND epoch_us(ts)<z GROUP BY 1")
+def ticks_in_closures(spark, folder):
+    from quotemill.operators.shards import micros
+
+    e = table(spark, folder, "tick_exports").select("export_id", "calendar_id").distinct()
+    t = table(spark, folder, "bid_ask_ticks").select("tick_id", "export_id", micros(F.col("ts")).alias("ts_us")).distinct()
+    d = J.salted_join(t, e, ["export_id"], F.col("tick_id"), "inner")
+    return S.in_closures(d, table(spark, folder, "session_closures"), "ts_us").groupBy("export_id").agg(F.count("*").alias("n_ticks"))
+
+
+@query(f"WITH {MERGED} SELECT export_id point_id, coalesce(max(z), epoch_us(any_value(coverage_end))) next_open_us FROM tick_exports e LEFT JOIN mc ON mc.calendar_id=e.calendar_id AND epoch_us(coverage_end)>=a AND epoch_us(coverage_end)<z GROUP BY 1")
+def next_open_start(spark, folder):
+    from quotemill.operators.shards import micros
+
+    e = table(spark, folder, "tick_exports").select(F.col("export_id").alias("point_id"), "calendar_id", micros(F.col("coverage_end")).alias("at_us")).dropDuplicates(["point_id"])
+    return S.next_open(e, table(spark, folder, "session_closures"), "at_us").select("point_id", "next_open_us")
+
+
+LEVELS = f"""{CROSS}{pivot_sql("b", 2, 2)}, tq AS (SELECT *, row_number() OVER {W} rn, CASE WHEN lag("close") OVER {W} IS NULL THEN high-low ELSE greatest(high-low, abs(high-lag("close") OVER {W}), abs(low-lag("close") OVER {W})) END tr, max(available_us) OVER (PARTITION BY instrument ORDER BY start_us ROWS UNBOUNDED PRECEDING) known FROM b),
+atr_rows AS (SELECT instrument, start_us, avg(tr) OVER (PARTITION BY instrument ORDER BY start_us ROWS 13 PRECEDING) atr, max(available_us) OVER (PARTITION BY instrument ORDER BY start_us ROWS 14 PRECEDING) known FROM tq QUALIFY rn>=14)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}{LEVELS}, sw AS (SELECT cn.instrument, cn.start_us, cn.direction, arg_max(price, pv.start_us) swing_price FROM cn LEFT JOIN pv ON pv.instrument=cn.instrument AND pv.available_us<=cn.available_us AND pv.kind=CASE direction WHEN 1 THEN 'low' ELSE 'high' END GROUP BY ALL),
+ar AS (SELECT cn.instrument, cn.start_us, cn.direction, arg_max(atr, atr_rows.start_us) atr FROM cn LEFT JOIN atr_rows ON atr_rows.instrument=cn.instrument AND atr_rows.known<=cn.available_us GROUP BY ALL)
+SELECT instrument, start_us, direction, round(swing_price,6) swing_price, round(atr,6) atr, round(CASE direction WHEN 1 THEN floor((swing_price-0.15*atr)::DECIMAL(28,8)*100) ELSE ceil((swing_price+0.15*atr)::DECIMAL(28,8)*100) END::DOUBLE/100,6) "level" FROM sw JOIN ar USING (instrument, start_us, direction)"""
+)
+def protective_levels(spark, folder):
+    b = base(spark, folder)
+    atr = I.with_atr(b, method="mean").where("atr is not null").select("instrument", "start_us", "atr", F.col("atr_known_us").alias("available_us"))
+    d = L.protective_levels(I.confirmations(b).select("instrument", "start_us", "direction", "available_us"), I.pivots(b, 2, 2), atr)
+    return rounded(d, "swing_price", "atr", "level").select("instrument", "start_us", "direction", "swing_price", "atr", "level")
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}{LEVELS}, ev AS (SELECT cn.*, b."close" price FROM cn JOIN b USING (instrument, start_us)),
+tg AS (SELECT DISTINCT ev.instrument, ev.start_us, ev.direction, ev.price, CASE direction WHEN 1 THEN floor(pv.price::DECIMAL(28,8)*100) ELSE ceil(pv.price::DECIMAL(28,8)*100) END::DOUBLE/100 target FROM ev JOIN pv ON pv.instrument=ev.instrument AND pv.available_us<=ev.available_us AND pv.kind=CASE direction WHEN 1 THEN 'high' ELSE 'low' END AND (pv.price-ev.price)*direction>0 AND abs(pv.price-ev.price)<=50)
+SELECT instrument, start_us, direction, count(*) n_targets, round(CASE direction WHEN 1 THEN min(target) ELSE max(target) END,6) nearest FROM tg WHERE (target-price)*direction>0 GROUP BY instrument, start_us, direction"""
+)
+def target_ladders(spark, folder):
+    b = base(spark, folder)
+    e = I.confirmations(b).select("instrument", "start_us", "direction", "available_us").join(b.select("instrument", "start_us", F.col("close").alias("price")), ["instrument", "start_us"])
+    d = L.ladders(e, I.pivots(b, 2, 2))
+    return rounded(d.select("instrument", "start_us", "direction", F.size("ladder").cast("long").alias("n_targets"), F.get("ladder", F.lit(0))["target"].alias("nearest")), "nearest")
