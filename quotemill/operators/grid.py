@@ -56,12 +56,13 @@ def merged_closures(closures: DataFrame) -> DataFrame:
     return closures.select("calendar_id", micros(F.col("closure_start")).alias("start_us"), micros(F.col("closure_end")).alias("end_us")).where("calendar_id is not null and start_us < end_us").distinct()
 
 
-def closed_periods(closures: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
-    """(calendar_id, bucket_start_us) of every period that lies wholly within one closure."""
-    p = F.lit(period_us)
-    first, last = F.ceil(F.col("start_us") / p) * p, F.floor(F.col("end_us") / p) * p - p
-    inside = merged_closures(closures).select("calendar_id", first.cast("long").alias("a"), last.cast("long").alias("b")).where("a <= b")
-    return inside.select("calendar_id", F.explode(F.sequence("a", "b", p.cast("long"))).alias("bucket_start_us")).distinct()
+DAY_US = 86_400_000_000
+
+
+def closures_by_day(closures: DataFrame) -> DataFrame:
+    """(calendar_id, day, shut): the closures that touch a UTC day, as an array of (start_us, end_us). One row per calendar and day."""
+    days = F.explode(F.sequence(F.floor(F.col("start_us") / DAY_US), F.floor((F.col("end_us") - 1) / DAY_US)))
+    return merged_closures(closures).select("calendar_id", days.alias("day"), "start_us", "end_us").groupBy("calendar_id", "day").agg(F.collect_list(F.struct("start_us", "end_us")).alias("shut"))
 
 
 SHARD_PERIODS = 4096
@@ -94,8 +95,11 @@ def regular_grid(ticks: DataFrame, exports: DataFrame, closures: DataFrame, peri
     covered = exports.select("export_id", "feed_id", "calendar_id", (F.ceil(micros(F.col("coverage_start")) / p) * p).cast("long").alias("a"), (F.floor(micros(F.col("coverage_end")) / p) * p - p).cast("long").alias("b")).where("export_id is not null and a <= b").dropDuplicates(["export_id"])
     grid = covered.select("export_id", "feed_id", "calendar_id", F.explode(F.sequence("a", "b", p)).alias("bucket_start_us"))
     filled = grid.join(period_summaries(ticks, period_us), ["export_id", "bucket_start_us"], "left")
-    closed = closed_periods(closures, period_us).withColumn("closed", F.lit(True))
-    return _carry_last(filled, period_us).join(closed, ["calendar_id", "bucket_start_us"], "left").select(
+    shut = closures_by_day(closures)
+    rows = _carry_last(filled, period_us).withColumn("day", F.floor(F.col("bucket_start_us") / DAY_US)).join(shut, ["calendar_id", "day"], "left")
+    start, end = F.col("bucket_start_us"), F.col("bucket_start_us") + period_us
+    rows = rows.withColumn("closed", F.exists("shut", lambda c: (c["start_us"] <= start) & (c["end_us"] >= end)))
+    return rows.select(
         "export_id",
         "feed_id",
         "bucket_start_us",
