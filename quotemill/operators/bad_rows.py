@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.joins import salted_join
+from quotemill.session import stored
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DATE = r"^[0-9]{4}\.[0-9]{2}\.[0-9]{2}\z"
 TIME = r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,3})?\z"
 FLAG_BITS = 2 + 4 + 8 + 16 + 32 + 64
+BROADCAST_BYTES = 32 * 1024 * 1024  # lookups up to this size, measured, are sent to all tasks; larger ones are joined by a shuffle
 COLUMNS = ("date", "time", "bid", "ask", "last", "volume", "flags")
 
 
@@ -37,8 +39,10 @@ def split_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
         .select("file_id", "delimiter", F.transform(names, lambda x: F.lower(F.regexp_replace(_unquoted(x), "[<>]", ""))).alias("names"))
         .where(F.col("delimiter").isin("\t", ",") & F.col("names").isNotNull())
     )
+    layout = stored(layout, "line-layouts")
     rows = lines.where("source_row >= 2").select("file_id", "source_row", "line", body.alias("body"))
-    joined = salted_join(rows, layout, ["file_id"], F.col("source_row"))
+    size = layout.agg(F.sum(F.lit(64) + F.length(F.concat_ws(",", "names")))).first()[0] or 0
+    joined = rows.join(F.broadcast(layout), "file_id", "left") if size <= BROADCAST_BYTES else salted_join(rows, layout, ["file_id"], F.col("source_row"))
     fields = F.when(F.col("delimiter") == "\t", F.split("body", "\t", -1)).otherwise(F.split("body", ",", -1))
     return joined.withColumn("raw_fields", fields).withColumn("fields", F.transform("raw_fields", _unquoted)).withColumn("count_ok", F.size("fields") == F.size("names"))
 
@@ -67,45 +71,51 @@ def invalid_reason(kind: Column, value: Column) -> Column:
     )
 
 
-def check_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Each line with source_row >= 2: file_id, source_row, line, names, fields, reason (null for a valid record).
+def _structural(split: DataFrame) -> DataFrame:
+    """Add structural, what is wrong with a line as a whole, or null."""
+    stray = F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"\z'))
+    reason = F.when(F.col("names").isNull(), "no header").when(F.col("line").isNull(), "null line").when(stray, "broken quoting").when(~F.col("count_ok"), "wrong column count")
+    return split.withColumn("structural", reason)
+
+
+def _field(name: str) -> Column:
+    """A line's field of a column; null where its file lacks the column."""
+    return F.when(F.array_contains("names", name), F.try_element_at("fields", F.array_position("names", F.lit(name)).cast("int")))
+
+
+def rejects(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, source_row, reason) of every line with source_row >= 2 that is no valid record.
 
     Each distinct value of a column is cast once; the invalid ones make a dictionary with reasons, which is joined back to
     the fields. Structural checks stand beside it. Reasons, the first that holds: ``no header`` (neither a header line nor
     a stated layout), ``null line``, ``broken quoting``, ``wrong column count``, ``<column>: <why>`` for the leftmost
     invalid column, ``ask below bid``. Empty lines have a wrong count. Rows with a null file_id have no header; a null
-    source_row is no record. Extra columns of the input are left out.
+    source_row is no record. Lines are not shuffled: only distinct values and what is wrong are.
     """
-    split = split_lines(lines, files)
-    cells = split.where("count_ok").select("file_id", "source_row", F.posexplode(F.arrays_zip("names", "fields")).alias("at", "cell")).select("file_id", "source_row", "at", F.col("cell.names").alias("kind"), F.col("cell.fields").alias("value"))
+    split = _structural(split_lines(lines, files))
+    whole = split.where("structural is null")
+    cells = whole.select("file_id", "source_row", F.posexplode(F.arrays_zip("names", "fields")).alias("at", "cell")).select("file_id", "source_row", "at", F.col("cell.names").alias("kind"), F.col("cell.fields").alias("value"))
     cells = cells.where(F.col("kind").isin(*COLUMNS))
-    dictionary = cells.select("kind", "value").distinct().withColumn("why", invalid_reason(F.col("kind"), F.col("value"))).where("why is not null")
-    wrong = cells.join(dictionary, ["kind", "value"]).groupBy("file_id", "source_row").agg(F.min_by(F.concat("kind", F.lit(": "), "why"), "at").alias("value_reason"))
-    stray = F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"\z'))
-    field = lambda name: F.try_element_at("fields", F.array_position("names", F.lit(name)).cast("int"))
-    both = F.col("names").isNotNull() & F.array_contains("names", "bid") & F.array_contains("names", "ask")
-    crossed = F.when(both & F.col("count_ok") & F.col("value_reason").isNull(), field("ask").try_cast("double") < field("bid").try_cast("double"))
-    reason = (
-        F.when(F.col("names").isNull(), "no header")
-        .when(F.col("line").isNull(), "null line")
-        .when(stray, "broken quoting")
-        .when(~F.col("count_ok"), "wrong column count")
-        .when(F.col("value_reason").isNotNull(), F.col("value_reason"))
-        .when(crossed, "ask below bid")
-    )
-    return split.join(wrong, ["file_id", "source_row"], "left").select("file_id", "source_row", "line", "names", "fields", reason.alias("reason"))
+    dictionary = stored(cells.select("kind", "value").distinct().withColumn("why", invalid_reason(F.col("kind"), F.col("value"))).where("why is not null"), "invalid-values")
+    size = dictionary.agg(F.sum(F.lit(128) + F.length("value"))).first()[0] or 0
+    found = cells.join(F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary, ["kind", "value"])
+    wrong = found.groupBy("file_id", "source_row").agg(F.min_by(F.concat("kind", F.lit(": "), "why"), "at").alias("reason"))
+    crossed = whole.where(_field("ask").try_cast("double") < _field("bid").try_cast("double")).select("file_id", "source_row", F.lit("ask below bid").alias("reason"))
+    return split.where("structural is not null").select("file_id", "source_row", F.col("structural").alias("reason")).unionByName(wrong).unionByName(crossed.join(wrong, ["file_id", "source_row"], "left_anti"))
 
 
 def rejected_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, source_row, reason, line) of every line that is no valid record."""
-    return check_lines(lines, files).where("reason is not null").select("file_id", "source_row", "reason", "line")
+    """The rejects with their line. Lines of one place (file_id, source_row) are told apart only if it is unique, as it should be."""
+    bad = rejects(lines, files)
+    a, b = bad.alias("a"), lines.where("source_row >= 2").select("file_id", "source_row", "line").alias("b")
+    same = F.col("a.file_id").eqNullSafe(F.col("b.file_id")) & (F.col("a.source_row") == F.col("b.source_row"))
+    return a.join(b, same).select("a.file_id", "a.source_row", "a.reason", "b.line")
 
 
 def loaded_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Typed ticks of the valid lines; local_time is the stamp as written, without zone."""
-    good = check_lines(lines, files).where("reason is null")
-    field = lambda name: F.when(F.array_contains("names", name), F.try_element_at("fields", F.array_position("names", F.lit(name)).cast("int")))
-    stamp = F.concat(F.regexp_replace(field("date"), r"\.", "-"), F.lit(" "), field("time"))
-    return good.select("file_id", "source_row", stamp.alias("_s"), *[field(c).alias(c) for c in COLUMNS[2:]]).select(
+    good = _structural(split_lines(lines, files)).where("structural is null").join(rejects(lines, files), ["file_id", "source_row"], "left_anti")
+    stamp = F.concat(F.regexp_replace(_field("date"), r"\.", "-"), F.lit(" "), _field("time"))
+    return good.select("file_id", "source_row", stamp.alias("_s"), *[_field(c).alias(c) for c in COLUMNS[2:]]).select(
         "file_id", "source_row", F.col("_s").try_cast("timestamp_ntz").alias("local_time"), *[F.when(F.col(c) != "", F.col(c)).try_cast("int" if c == "flags" else "double").alias(c) for c in COLUMNS[2:]]
     )

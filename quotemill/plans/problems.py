@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.operators.bad_rows import loaded_lines, rejected_lines
+from quotemill.operators.bad_rows import loaded_lines, rejected_lines, rejects
 from quotemill.operators.grid import regular_grid
 from quotemill.operators.implausible import flag_implausible
 from quotemill.operators.runs import collapse_runs
@@ -54,7 +54,7 @@ def _lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return rejected_lines(*_lines(spark, folder)).select("file_id", "source_row")
+    return rejects(*_lines(spark, folder)).select("file_id", "source_row")
 
 
 def p4_rejects(spark: SparkSession, folder: str) -> DataFrame:
