@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.joins import salted_join
+from quotemill.session import stored
 
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 # Abbreviations of civil time with their offsets in minutes. Where one is used on several continents, the
@@ -34,6 +35,7 @@ FORMATS = (
     ("epoch_ms", r"^(\d{12,13})\z", None),
     ("epoch_us", r"^(\d{15,16})\z", None),
 )
+BROADCAST_BYTES = 32 * 1024 * 1024  # what files state is sent to all tasks up to this size, else joined by a salted shuffle
 SLASHED = (4, 5)
 EPOCH = 6
 WEEKDAYS = "Mon Tue Wed Thu Fri Sat Sun".split()
@@ -196,8 +198,9 @@ def normalise_stamps(stamps: DataFrame, files: DataFrame, certainty: float = 0.9
     # Unreadable values have signature 0 and no part in it. A filter on it would be pushed below the parsing and repeat it.
     stated = seen.join(rules.select("file_id", "slash_order"), "file_id", "left")
     weights = stated.repartition("file_id").sortWithinPartitions("file_id", "signature").mapInPandas(_weights_of, WEIGHTS_DDL)
-    layout = rules.join(weights, "file_id", "full")
-    rows = salted_join(parsed, layout, ["file_id"], F.col("record_id"))
+    layout = stored(rules.join(weights, "file_id", "full"), "stamp-layouts")
+    n_bytes = layout.count() * (64 + 8 * len(FORMATS) + 32)
+    rows = parsed.join(F.broadcast(layout), "file_id", "left") if n_bytes <= BROADCAST_BYTES else salted_join(parsed, layout, ["file_id"], F.col("record_id"))
     even = F.array(*[F.lit(1.0)] * len(FORMATS))
     joint = F.transform(F.arrays_zip("readings", F.coalesce("weights", even).alias("w")), lambda x: F.when(x["readings"].isNotNull(), x["w"]).otherwise(0.0))
     rows = rows.withColumn("joint", joint).withColumn("total", F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)).withColumn("best", F.array_max("joint"))
