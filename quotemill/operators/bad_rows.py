@@ -18,7 +18,7 @@ COLUMNS = ("date", "time", "bid", "ask", "last", "volume", "flags")
 
 def _unquoted(field: Column) -> Column:
     """The content of a field that double quotes enclose, else the field."""
-    return F.when(field.rlike(r'^"[^"]*"\z'), field.substr(F.lit(2), F.length(field) - 2)).otherwise(field)
+    return F.when(field.startswith('"') & field.rlike(r'^"[^"]*"\z'), field.substr(F.lit(2), F.length(field) - 2)).otherwise(field)
 
 
 def split_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
