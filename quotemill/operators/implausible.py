@@ -8,8 +8,8 @@ and filtered with the steady-state Kalman gain. Q and R come from all of the sou
 (trimmed second moments of mergeable histograms). A standardised innovation above the threshold is withheld: the
 state keeps its level. If the readings come back to that level within a few ticks they were spikes; if not, the level
 has moved, the filter restarts there and nothing is flagged. With R = 0 the model's innovations are the moves between
-neighbours; a stretch whose innovation variance is exactly zero for longer than the source's own repeats explain (chance
-below ``repeat_chance``) is stuck.
+neighbours; a stretch whose innovation variance is exactly zero for longer than the source's own repeats explain (fewer
+than ``stuck_expected`` such stretches expected) is stuck.
 """
 
 from __future__ import annotations
@@ -38,18 +38,18 @@ BINS_PER_OCTAVE = 16
 @dataclass(frozen=True)
 class SpikePolicy:
     """threshold: standard deviations of the innovation. max_spike: ticks that a spike may last. context: ticks read
-    on either side of a shard's edge, half of which are decided there. repeat_chance: chance that ordinary repeats make a
-    stretch as long as a stuck one. max_sources_sent: up to so many sources, their three numbers a side are sent to
+    on either side of a shard's edge, half of which are decided there. stuck_expected: how many ordinary stretches of a
+    source's side, whatever its size, are expected to be as long as a stuck one. max_sources_sent: up to so many sources, their three numbers a side are sent to
     all tasks; more sources are split by hash into parts of about half as many, one pass each."""
 
     threshold: float = 14.0
     max_spike: int = 5
     context: int = 128
-    repeat_chance: float = 1e-9
+    stuck_expected: float = 1e-3
     max_sources_sent: int = 50_000
 
 
-PROFILE_SCHEMA = "feed_id string, side int, kind int, bin int, n long"
+PROFILE_SCHEMA = "feed_id string, side int, kind int, bin int, n long, export_id long, shard int, edge int, bid double, first_id long, last_id long"
 PARAM_SCHEMA = "feed_id string, side int, gain double, gate double, stuck_length int"
 OUT_SCHEMA = pa.schema(
     [("kind", pa.int32()), ("tick_id", pa.int64()), ("shard", pa.int32()), ("edge", pa.int32()), ("side", pa.int32()), ("export_id", pa.int64()), ("feed_id", pa.string()), ("pos", pa.int32()), ("owned", pa.bool_()), ("bid", pa.float64()), ("ask", pa.float64()), ("has_bid", pa.bool_()), ("has_ask", pa.bool_()), ("n", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("reason", pa.string())]
@@ -80,6 +80,35 @@ def equal_runs(values: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.diff(np.append(starts, len(values)))
 
 
+def edge_kinds(p: Piece, k: int) -> np.ndarray:
+    """For each of a piece's k stretches, the edge of the shard that it touches; -1 if none."""
+    edge = np.full(k, -1)
+    if p.first:
+        edge[0] = FIRST
+    if p.last:
+        edge[k - 1] = WHOLE if p.first and k == 1 else LAST
+    return edge
+
+
+def join_stretches(pdf: pd.DataFrame) -> tuple[list[list], list[list[tuple[int, int]]]]:
+    """Join the stretches of one export and side that meet at shards' edges: [value, length, last tick], and the (shard, edge) of each."""
+    pdf = pdf.sort_values(["shard", "edge"])
+    groups: list[list] = []
+    members: list[list[tuple[int, int]]] = []
+    last_edge = None
+    for shard, edge, value, n, first_id, last_id in pdf[["shard", "edge", "bid", "n", "first_id", "last_id"]].itertuples(index=False):
+        joins = groups and last_edge in (LAST, WHOLE) and edge in (FIRST, WHOLE) and value == groups[-1][0]
+        if joins:
+            groups[-1][1] += n - (first_id == groups[-1][2])
+            groups[-1][2] = last_id
+            members[-1].append((shard, edge))
+        else:
+            groups.append([value, n, last_id])
+            members.append([(shard, edge)])
+        last_edge = edge
+    return groups, members
+
+
 # --- what a source normally does -----------------------------------------------------------------------------------
 
 
@@ -93,8 +122,12 @@ def _bins(moves: np.ndarray) -> Counter:
 
 
 def profile_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source and side: counts of moves over one (kind 1) and two readings (kind 2), and of stretches by length (kind 0)."""
+    """Per source and side: counts of moves over one (kind 1) and two readings (kind 2), and of stretches by length (kind 0).
+
+    Stretches at a shard's edge may go on beyond it: they come out one by one (kind 3) and are counted once joined.
+    """
     total: dict[tuple, Counter] = {}
+    rows = []
     for p in pieces(batches):
         for side in (0, 1):
             values, has = (p.bid, p.has_bid) if side == 0 else (p.ask, p.has_ask)
@@ -104,18 +137,48 @@ def profile_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if len(y) > lag:
                     total.setdefault((p.feed_id, side, lag), Counter()).update(_bins(np.abs(y[lag:] - y[:-lag])))
             starts, lengths = equal_runs(values, ok)
-            at, n = np.unique(np.minimum(lengths[ok[starts]], 3), return_counts=True)
+            edge = edge_kinds(p, len(starts))
+            at, n = np.unique(lengths[ok[starts] & (edge < 0)], return_counts=True)
             total.setdefault((p.feed_id, side, 0), Counter()).update(dict(zip(at.tolist(), n.tolist())))
-    rows = [(*k, b, n) for k, c in total.items() for b, n in c.items() if n]
+            for r in np.flatnonzero(edge >= 0):
+                a, m = int(starts[r]), int(lengths[r])
+                value = float(values[a]) if ok[a] else None
+                rows.append((p.feed_id, side, 3, 0, m, p.export_id, p.shard, int(edge[r]), value, int(p.tick_id[a]), int(p.tick_id[a + m - 1])))
+    rows += [(*k, b, n, 0, 0, 0, None, 0, 0) for k, c in total.items() for b, n in c.items() if n]
     if rows:
-        feed, side, kind, at, n = zip(*rows)
-        yield pa.record_batch([pa.array(feed, pa.string()), pa.array(side, pa.int32()), pa.array(kind, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["feed_id", "side", "kind", "bin", "n"])
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        names = [x.split()[0] for x in PROFILE_SCHEMA.split(", ")]
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
 
 def _quantile(size: np.ndarray, n: np.ndarray, q: float) -> float:
     return float(size[np.searchsorted(np.cumsum(n), q * n.sum())])
 
 
+def stuck_length(lengths: np.ndarray, n: np.ndarray, expected: float) -> int:
+    """Length from which a stretch is stuck, from the whole histogram of one source's stretch lengths on one side.
+
+    Ordinary are the shortest nine tenths of the stretches and all up to 3, then whatever is shorter than the gate that these
+    give, until nothing is added; so outlying stretches have no say. Half a stretch is expected just beyond the longest
+    ordinary one, and of each further length only the share of ordinary repeats that go on (4 of 10 are added, so that a few
+    repeats don't settle it). The gate is where fewer than ``expected`` are left.
+    """
+    order = np.argsort(lengths)
+    lengths, n = lengths[order], n[order]
+    if not n.sum():
+        return 2**31 - 1
+    top = max(3, int(lengths[np.searchsorted(np.cumsum(n), max(1, int(0.9 * n.sum())))]))
+    while True:
+        body = lengths <= top
+        longest = int(lengths[body].max(initial=1))
+        repeats = np.maximum(lengths[body] - 1, 0)
+        chance = min((float((np.maximum(repeats - 1, 0) * n[body]).sum()) + 4) / (float((repeats * n[body]).sum()) + 10), 0.9999)
+        gate = longest + 1 + max(0, math.ceil(math.log(2 * expected) / math.log(chance)))
+        if not ((lengths > top) & (lengths < gate)).any():
+            return min(gate, 2**31 - 1)
+        top = gate - 1
+
+
 def fit(histogram: pd.DataFrame, policy: SpikePolicy) -> tuple[float, float, int]:
     """Gain, gate and length of a stuck stretch from one source's histograms (columns kind, bin, n) of one side.
 
@@ -143,16 +206,18 @@ def fit(histogram: pd.DataFrame, policy: SpikePolicy) -> tuple[float, float, int
     p = (q + math.sqrt(q * q + 4 * q * r)) / 2
     s = p + r
     runs = histogram[histogram.kind == 0]
-    one_up, two_up, three_up = (max(int(runs.n[runs.bin >= k].sum()), 1) for k in (1, 2, 3))
-    chance = min(max(two_up / one_up, three_up / two_up, 1e-3), 0.9999)
-    return p / s, policy.threshold * math.sqrt(s), 2 + math.ceil(math.log(policy.repeat_chance) / math.log(chance))
+    return p / s, policy.threshold * math.sqrt(s), stuck_length(runs.bin.to_numpy(), runs.n.to_numpy(), policy.stuck_expected)
 
 
 def source_parameters(ordered: DataFrame, policy: SpikePolicy) -> DataFrame:
-    histogram = ordered.mapInArrow(profile_shard, PROFILE_SCHEMA).groupBy("feed_id", "side", "kind", "bin").agg(F.sum("n").alias("n"))
+    profile = ordered.mapInArrow(profile_shard, PROFILE_SCHEMA)
+    histogram = profile.groupBy(*(x for x in profile.columns if x != "n")).agg(F.sum("n").alias("n"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        gain, gate, length = fit(pdf, policy)
+        at_edges = [g for _, e in pdf[pdf.kind == 3].groupby("export_id") for g in join_stretches(e)[0]]
+        joined = Counter(int(n) for value, n, _ in at_edges if not pd.isna(value))
+        more = pd.DataFrame({"kind": 0, "bin": list(joined.keys()), "n": list(joined.values())}, dtype="int64")
+        gain, gate, length = fit(pd.concat([pdf.loc[pdf.kind != 3, ["kind", "bin", "n"]], more]), policy)
         return pd.DataFrame({"feed_id": [pdf.feed_id.iloc[0]], "side": [pdf.side.iloc[0]], "gain": [gain], "gate": [gate], "stuck_length": [length]})
 
     return histogram.groupBy("feed_id", "side").applyInPandas(one, PARAM_SCHEMA)
@@ -230,12 +295,7 @@ def flag_shard(param_of, policy: SpikePolicy):
                 length = param.get((p.feed_id, side), (1.0, 0.0, 2**31 - 1))[2]
                 ok = usable(values, has)
                 starts, lengths = equal_runs(values, ok)
-                k = len(starts)
-                edge = np.full(k, -1)
-                if p.first:
-                    edge[0] = FIRST
-                if p.last:
-                    edge[k - 1] = WHOLE if p.first and k == 1 else LAST
+                edge = edge_kinds(p, len(starts))
                 for r in np.flatnonzero(ok[starts] & ((lengths >= length) & (edge < 0))):
                     stuck[starts[r] : starts[r] + lengths[r]] = True
                 for r in np.flatnonzero(edge >= 0):
@@ -280,20 +340,7 @@ def _merge_runs(param_of):
     """Join the stretches that meet at shards' edges, and say which of them are stuck. One row per shard and edge."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["shard", "edge"])
-        groups: list[list] = []
-        members: list[list[tuple[int, int]]] = []
-        last_edge = None
-        for shard, edge, value, n, first_id, last_id in pdf[["shard", "edge", "bid", "n", "first_id", "last_id"]].itertuples(index=False):
-            joins = groups and last_edge in (LAST, WHOLE) and edge in (FIRST, WHOLE) and value == groups[-1][0]
-            if joins:
-                groups[-1][1] += n - (first_id == groups[-1][2])
-                groups[-1][2] = last_id
-                members[-1].append((shard, edge))
-            else:
-                groups.append([value, n, last_id])
-                members.append([(shard, edge)])
-            last_edge = edge
+        groups, members = join_stretches(pdf)
         feed, side = pdf.feed_id.iloc[0], int(pdf.side.iloc[0])
         p = Piece(0, 0, feed, True, True, *[np.zeros(0)] * 7)
         length = param_of(p).get((feed, side), (1.0, 0.0, 2**31 - 1))[2]
