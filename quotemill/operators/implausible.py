@@ -37,10 +37,11 @@ BINS_PER_OCTAVE = 16
 
 @dataclass(frozen=True)
 class SpikePolicy:
-    """threshold: standard deviations of the innovation. max_spike: ticks that a spike may last. context: ticks read
+    """threshold: standard deviations of the innovation. max_spike: ticks that a spike may last. context: readings taken
     on either side of a shard's edge, half of which are decided there. stuck_expected: how many ordinary stretches of a
-    source's side, whatever its size, are expected to be as long as a stuck one. max_sources_sent: up to so many sources, their three numbers a side are sent to
-    all tasks; more sources are split by hash into parts of about half as many, one pass each."""
+    source's side, whatever its size, are expected to be as long as a stuck one. max_sources_sent: up to so many sources,
+    their three numbers a side are sent to all tasks; more sources are split by hash into parts of about half as many, one
+    pass each."""
 
     threshold: float = 14.0
     max_spike: int = 5
@@ -52,9 +53,9 @@ class SpikePolicy:
 PROFILE_SCHEMA = "feed_id string, side int, kind int, bin int, n long, export_id long, shard int, edge int, bid double, first_id long, last_id long"
 PARAM_SCHEMA = "feed_id string, side int, gain double, gate double, stuck_length int"
 OUT_SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("tick_id", pa.int64()), ("shard", pa.int32()), ("edge", pa.int32()), ("side", pa.int32()), ("export_id", pa.int64()), ("feed_id", pa.string()), ("pos", pa.int32()), ("owned", pa.bool_()), ("bid", pa.float64()), ("ask", pa.float64()), ("has_bid", pa.bool_()), ("has_ask", pa.bool_()), ("n", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("reason", pa.string())]
+    [("kind", pa.int32()), ("tick_id", pa.int64()), ("shard", pa.int32()), ("edge", pa.int32()), ("side", pa.int32()), ("export_id", pa.int64()), ("feed_id", pa.string()), ("pos", pa.int32()), ("owned", pa.bool_()), ("bid", pa.float64()), ("n", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("reason", pa.string())]
 )
-OUT_DDL = "kind int, tick_id long, shard int, edge int, side int, export_id long, feed_id string, pos int, owned boolean, bid double, ask double, has_bid boolean, has_ask boolean, n long, first_id long, last_id long, reason string"
+OUT_DDL = "kind int, tick_id long, shard int, edge int, side int, export_id long, feed_id string, pos int, owned boolean, bid double, n long, first_id long, last_id long, reason string"
 FLAG, PENDING, RUN, EDGE = range(4)
 FIRST, LAST, WHOLE = range(3)
 
@@ -124,7 +125,8 @@ def _bins(moves: np.ndarray) -> Counter:
 def profile_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per source and side: counts of moves over one (kind 1) and two readings (kind 2), and of stretches by length (kind 0).
 
-    Stretches at a shard's edge may go on beyond it: they come out one by one (kind 3) and are counted once joined.
+    Stretches at a shard's edge may go on beyond it: they come out one by one (kind 3) and are counted once joined. So do the
+    two readings (kind 4) between which and those of other shards there are moves; n is their place.
     """
     total: dict[tuple, Counter] = {}
     rows = []
@@ -136,6 +138,9 @@ def profile_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for lag in (1, 2):
                 if len(y) > lag:
                     total.setdefault((p.feed_id, side, lag), Counter()).update(_bins(np.abs(y[lag:] - y[:-lag])))
+            places = np.arange(len(y))
+            for i in places[(p.first & (places < 2)) | (p.last & (places >= len(y) - 2))]:
+                rows.append((p.feed_id, side, 4, 0, int(i), p.export_id, p.shard, 0, float(y[i]), int(p.tick_id[ok][i]), 0))
             starts, lengths = equal_runs(values, ok)
             edge = edge_kinds(p, len(starts))
             at, n = np.unique(lengths[ok[starts] & (edge < 0)], return_counts=True)
@@ -151,6 +156,21 @@ def profile_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
 
+def moves_over_edges(pdf: pd.DataFrame) -> dict[int, Counter]:
+    """Moves over one and two readings of one export and side between different shards, from the readings at their edges."""
+    seen: list[list] = []  # tick, reading, first and last shard that holds it
+    for tick, value, shard in pdf.sort_values(["shard", "n"])[["first_id", "bid", "shard"]].itertuples(index=False):
+        if seen and seen[-1][0] == tick != -(2**63):
+            seen[-1][3] = shard
+        else:
+            seen.append([tick, value, shard, shard])
+    out = {}
+    for lag in (1, 2):
+        moves = [abs(b[1] - a[1]) for a, b in zip(seen, seen[lag:]) if a[3] < b[2]]
+        out[lag] = _bins(np.array(moves, float))
+    return out
+
+
 def _quantile(size: np.ndarray, n: np.ndarray, q: float) -> float:
     return float(size[np.searchsorted(np.cumsum(n), q * n.sum())])
 
@@ -216,8 +236,10 @@ def source_parameters(ordered: DataFrame, policy: SpikePolicy) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         at_edges = [g for _, e in pdf[pdf.kind == 3].groupby("export_id") for g in join_stretches(e)[0]]
         joined = Counter(int(n) for value, n, _ in at_edges if not pd.isna(value))
-        more = pd.DataFrame({"kind": 0, "bin": list(joined.keys()), "n": list(joined.values())}, dtype="int64")
-        gain, gate, length = fit(pd.concat([pdf.loc[pdf.kind != 3, ["kind", "bin", "n"]], more]), policy)
+        more = [(0, b, n) for b, n in joined.items()]
+        more += [(lag, b, n) for _, e in pdf[pdf.kind == 4].groupby("export_id") for lag, c in moves_over_edges(e).items() for b, n in c.items() if n]
+        histogram = pd.concat([pdf.loc[pdf.kind < 3, ["kind", "bin", "n"]], pd.DataFrame(more, columns=["kind", "bin", "n"], dtype="int64")])
+        gain, gate, length = fit(histogram.groupby(["kind", "bin"], as_index=False).sum(), policy)
         return pd.DataFrame({"feed_id": [pdf.feed_id.iloc[0]], "side": [pdf.side.iloc[0]], "gain": [gain], "gate": [gate], "stuck_length": [length]})
 
     return histogram.groupBy("feed_id", "side").applyInPandas(one, PARAM_SCHEMA)
@@ -258,16 +280,6 @@ def spikes(y: list[float], gain: float, gate: float, max_spike: int) -> list[int
     return found
 
 
-def _spike_mask(p: Piece, param: dict, max_spike: int) -> np.ndarray:
-    out = np.zeros(len(p), bool)
-    for side in (0, 1):
-        values, has = (p.bid, p.has_bid) if side == 0 else (p.ask, p.has_ask)
-        gain, gate, _ = param.get((p.feed_id, side), (1.0, 0.0, 0))
-        at = np.flatnonzero(usable(values, has))
-        out[at[spikes(values[at].tolist(), gain, gate, max_spike)]] = True
-    return out
-
-
 def _rows(**columns) -> pa.RecordBatch:
     n = max(len(v) for v in columns.values() if isinstance(v, (np.ndarray, list)))
     arrays = []
@@ -278,7 +290,10 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def flag_shard(param_of, policy: SpikePolicy):
-    """Per shard: flagged ticks; ticks of edge stretches that are not decided yet, and these stretches' summaries; and the ticks around each edge."""
+    """Per shard: flagged ticks; ticks of edge stretches that are not decided yet, and these stretches' summaries; and each side's readings around each edge.
+
+    A piece with fewer readings than the context has not enough of them to decide anything: all are left to its edges.
+    """
     c = policy.context
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,14 +301,24 @@ def flag_shard(param_of, policy: SpikePolicy):
             n = len(p)
             param = param_of(p)
             stuck = np.zeros(n, bool)
-            inner = np.ones(n, bool)
-            head, tail = min(c // 2, n // 2) if p.first else 0, min(c // 2, n - n // 2) if p.last else 0
-            inner[:head] = False
-            inner[n - tail :] = False
+            spike = np.zeros(n, bool)
             for side in (0, 1):
                 values, has = (p.bid, p.has_bid) if side == 0 else (p.ask, p.has_ask)
-                length = param.get((p.feed_id, side), (1.0, 0.0, 2**31 - 1))[2]
+                gain, gate, length = param.get((p.feed_id, side), (1.0, 0.0, 2**31 - 1))
                 ok = usable(values, has)
+                at = np.flatnonzero(ok)
+                m = len(at)
+                half = c // 2 if m >= c else m
+                head, tail = half if p.first else 0, half if p.last else 0
+                if head + tail < m:
+                    inner = [i for i in spikes(values[at].tolist(), gain, gate, policy.max_spike) if head <= i < m - tail]
+                    spike[at[inner]] = True
+                whole = p.first and p.last and m < c
+                for on, kind, some, mine in ((whole, WHOLE, slice(0, m), (0, m)), (p.first and not whole, FIRST, slice(0, c), (0, head)), (p.last and not whole, LAST, slice(max(0, m - c), m), (m - tail, m))):
+                    if on and m:
+                        pos = np.arange(m, dtype=np.int32)[some]
+                        owned = (pos >= mine[0]) & (pos < mine[1])
+                        yield _rows(kind=EDGE, shard=p.shard, edge=kind, side=side, export_id=p.export_id, feed_id=p.feed_id, pos=pos, owned=owned, tick_id=p.tick_id[at[some]], bid=values[at[some]])
                 starts, lengths = equal_runs(values, ok)
                 edge = edge_kinds(p, len(starts))
                 for r in np.flatnonzero(ok[starts] & ((lengths >= length) & (edge < 0))):
@@ -304,33 +329,29 @@ def flag_shard(param_of, policy: SpikePolicy):
                     yield _rows(kind=RUN, bid=[values[a] if ok[a] else None], n=[m], first_id=[int(p.tick_id[a])], last_id=[int(p.tick_id[a + m - 1])], **summary)
                     if ok[a]:
                         yield _rows(kind=PENDING, tick_id=p.tick_id[a : a + m], **summary)
-            for reason, mask in (("impossible", impossible(p)), ("spike", _spike_mask(p, param, policy.max_spike) & inner), ("stuck", stuck)):
+            for reason, mask in (("impossible", impossible(p)), ("spike", spike), ("stuck", stuck)):
                 if mask.any():
                     yield _rows(kind=FLAG, tick_id=p.tick_id[mask], reason=reason)
-            for on, edge, a, b, mine in ((p.first, FIRST, 0, min(c, n), slice(0, head)), (p.last, LAST, max(0, n - c), n, slice(n - tail, n))):
-                if on and n:
-                    owned = np.zeros(n, bool)
-                    owned[mine] = True
-                    yield _rows(
-                        kind=EDGE, shard=p.shard, edge=edge, export_id=p.export_id, feed_id=p.feed_id, pos=np.arange(a, b, dtype=np.int32), tick_id=p.tick_id[a:b], owned=owned[a:b],
-                        bid=p.bid[a:b], ask=p.ask[a:b], has_bid=p.has_bid[a:b], has_ask=p.has_ask[a:b],
-                    )
 
     return run
 
 
 def _edge_spikes(param_of, policy: SpikePolicy):
-    """Ticks around one edge: the last ones of a shard, then the first ones of the next."""
+    """One side's readings around one edge: the last ones of a shard, all of the short shards after it, the first ones of the next."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["edge", "pos"], ascending=[False, True])  # LAST of the earlier shard comes first
+        pdf = pdf.sort_values(["shard", "pos"])
+        side = int(pdf.side.iloc[0])
         out: list[int] = []
         for _, g in pdf.groupby("export_id", sort=False, dropna=False):
             same = g.tick_id.eq(g.tick_id.shift()) & g.tick_id.ne(-(2**63))
             g = g[~same]
-            arrays = [g[x].to_numpy() for x in ("tick_id", "pos", "pos", "bid", "ask", "has_bid", "has_ask")]
-            p = Piece(0, 0, g.feed_id.iloc[0], True, True, *arrays[:3], *(a.astype(float) for a in arrays[3:5]), *(a.astype(bool) for a in arrays[5:]))
-            out += p.tick_id[_spike_mask(p, param_of(p), policy.max_spike) & g.owned.to_numpy().astype(bool)].tolist()
+            feed = g.feed_id.iloc[0]
+            p = Piece(0, 0, feed, True, True, *[np.zeros(0)] * 7)
+            gain, gate, _ = param_of(p).get((feed, side), (1.0, 0.0, 0))
+            found = np.zeros(len(g), bool)
+            found[spikes(g.bid.tolist(), gain, gate, policy.max_spike)] = True
+            out += g.tick_id[found & g.owned.to_numpy().astype(bool)].tolist()
         return pd.DataFrame({"tick_id": pd.Series(out, dtype="int64")})
 
     return run
@@ -378,11 +399,13 @@ def flag_implausible(ticks: DataFrame, policy: SpikePolicy = SpikePolicy()) -> D
     ordered.unpersist()
     pending = out.where(F.col("kind") == PENDING).select("tick_id", "shard", "edge", "side")
     stuck = out.where(F.col("kind") == RUN).select("shard", "edge", "side", "export_id", "feed_id", "bid", "n", "first_id", "last_id").groupBy("export_id", "side").applyInPandas(_merge_runs(param_of), "shard int, edge int, side int")
-    edges = out.where(F.col("kind") == EDGE).select("shard", "edge", "export_id", "feed_id", "pos", "owned", "tick_id", "bid", "ask", "has_bid", "has_ask")
-    # The edge before a shard belongs to the last shard before it that holds ticks; the list has a row per shard.
-    before = edges.select("shard").distinct().withColumn("before", F.coalesce(F.lag("shard").over(Window.orderBy("shard")), F.lit(-1)))
-    edges = edges.join(before, "shard").withColumn("shard", F.when(F.col("edge") == FIRST, F.col("before")).otherwise(F.col("shard"))).drop("before")
-    at_edges = edges.groupBy("shard").applyInPandas(_edge_spikes(param_of, policy), "tick_id long")
+    edges = out.where(F.col("kind") == EDGE).select("shard", "edge", "side", "export_id", "feed_id", "pos", "owned", "tick_id", "bid")
+    # A window begins with the last readings of a shard and goes on to the first ones of the next shard that is not short, over
+    # all the short ones (and those without readings) between; the list that says where has a row per shard and side.
+    so_far = Window.partitionBy("side").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = edges.groupBy("side", "shard").agg(F.max(F.when(F.col("edge") == LAST, F.col("shard"))).alias("last")).select("side", "shard", F.coalesce(F.max("last").over(so_far), F.lit(-1)).alias("before"))
+    edges = edges.join(before, ["side", "shard"]).withColumn("window", F.when(F.col("edge") == LAST, F.col("shard")).otherwise(F.col("before"))).drop("before")
+    at_edges = edges.groupBy("side", "window").applyInPandas(_edge_spikes(param_of, policy), "tick_id long")
     return (
         out.where(F.col("kind") == FLAG)
         .select("tick_id", "reason")

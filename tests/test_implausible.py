@@ -53,3 +53,39 @@ def test_gate_is_near_the_longest_ordinary_repeat():
     polled = np.arange(18, 23)
     assert stuck_length(polled, np.full(5, 100), 1e-3) > 40
     assert stuck_length(np.zeros(0, int), np.zeros(0, int), 1e-3) == 2**31 - 1
+
+
+@pytest.mark.parametrize("shards", [1, 11])
+@pytest.mark.parametrize("copied", [(200,), (200, 201), (199, 200, 201, 202)])
+def test_copied_spike_fills_several_shards(spark, shards, copied):
+    rng = random.Random(4)
+    rows = quotes(rng, 1, "F", 0, [1] * 400)
+    away = [i for i in copied if i in (200, 201)]
+    for i in away:
+        rows[i] = (*rows[i][:5], rows[i][5] + 500, rows[i][6] + 500)
+    rows += [rows[i] for i in copied for _ in range(3000 // len(copied))]
+    rng.shuffle(rows)
+    with many_shards(spark, shards):
+        got = {(r.tick_id, r.reason) for r in flag_implausible(frame(spark, rows).repartition(16)).collect()}
+    assert got == {(i, "spike") for i in away}
+
+
+@pytest.mark.parametrize("shards", [1, 11])
+def test_spikes_of_a_side_that_is_seldom_quoted(spark, shards):
+    rows = quotes(random.Random(5), 1, "F", 0, [1] * 16000)
+    spiked = set(range(680, 16000, 1440))
+    rows = [(*r[:5], None if r[0] % 40 else r[5] + 500 * (r[0] in spiked), r[6] + 500) for r in rows]
+    with many_shards(spark, shards):
+        got = {(r.tick_id, r.reason) for r in flag_implausible(frame(spark, rows).repartition(3)).collect()}
+    assert got == {(i, "spike") for i in spiked}
+
+
+def test_spike_among_shards_of_one_tick(spark):
+    rows = quotes(random.Random(6), 1, "F", 0, [1] * 30)
+    rows[4] = (*rows[4][:5], rows[4][5] + 500, rows[4][6] + 500)
+    rows = [r for r in rows for _ in range(200)]
+    found = []
+    for shards in (1, 60):
+        with many_shards(spark, shards):
+            found.append({(r.tick_id, r.reason) for r in flag_implausible(frame(spark, rows).repartition(16)).collect()})
+    assert found == [{(4, "spike")}] * 2
