@@ -41,6 +41,43 @@ def session_hours(buckets: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
     return buckets.groupBy("export_id", hour.alias("hour_us")).agg(F.count("*").alias("n_buckets"), F.count_if(opened).alias("open_buckets"), F.count_if(opened & (F.col("status") == "observed")).alias("observed_open_buckets"), F.sum("open_us").alias("open_us"), F.sum("tick_count").alias("tick_count")).withColumn("eligible", (F.col("n_buckets") == 4) & (F.col("open_buckets") > 0) & (F.col("open_buckets") == F.col("observed_open_buckets")))
 
 
+def hour_prices(ticks: DataFrame, buckets: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
+    """session_hours with each side's open, high, low and close over the hour's observed open periods; null unless eligible.
+
+    Order is (ts, source_row, tick_id). A side that is null, NaN, infinite or not positive is no price.
+    Ticks in the closed part of a period that is partly open count, as in session_buckets.
+    """
+    rows = ticks.select("export_id", (F.floor(micros(F.col("ts")) / F.lit(period_us)) * period_us).cast("long").alias("bucket_start_us"), F.struct(micros(F.col("ts")).alias("ts_us"), "source_row", "tick_id").alias("at"), *(F.col(s).cast("double").alias(s) for s in ("bid", "ask")))
+    first, hours = [], []
+    for s in ("bid", "ask"):
+        good = (F.col(s) > 0) & (F.col(s) < float("inf"))
+        at, price = F.when(good, F.col("at")), F.when(good, F.col(s))
+        first += [F.min_by(s, at).alias(f"{s}_open"), F.max(price).alias(f"{s}_high"), F.min(price).alias(f"{s}_low"), F.max_by(s, at).alias(f"{s}_close")]
+        known = F.when(F.col(f"{s}_open").isNotNull(), F.col("bucket_start_us"))
+        hours += [F.min_by(f"{s}_open", known).alias(f"{s}_open"), F.max(f"{s}_high").alias(f"{s}_high"), F.min(f"{s}_low").alias(f"{s}_low"), F.max_by(f"{s}_close", known).alias(f"{s}_close")]
+    opened = buckets.where("state <> 'closed' and status = 'observed'").select("export_id", "bucket_start_us")
+    hour = (F.floor(F.col("bucket_start_us") / F.lit(4 * period_us)) * 4 * period_us).cast("long")
+    prices = rows.groupBy("export_id", "bucket_start_us").agg(*first).join(opened, ["export_id", "bucket_start_us"]).groupBy("export_id", hour.alias("hour_us")).agg(*hours)
+    names = [c for c in prices.columns if c not in ("export_id", "hour_us")]
+    d = session_hours(buckets, period_us).join(prices, ["export_id", "hour_us"], "left")
+    return d.withColumns({c: F.when(F.col("eligible"), F.col(c)) for c in names})
+
+
+def next_boundaries(buckets: DataFrame, exports: DataFrame, closures: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
+    """Per bucket whether its end is open, and why: ``outside_coverage``, ``inside_closure`` or ``scheduled_open``.
+
+    next_eligible: the end is open, and the bucket is not closed and was observed.
+    """
+    e = exports.where("export_id is not null").select("export_id", "calendar_id", micros(F.col("coverage_end")).alias("coverage_end_us")).dropDuplicates(["export_id"])
+    d = buckets.select("export_id", "bucket_start_us", "state", "status", (F.col("bucket_start_us") + period_us).alias("boundary_us")).join(e, "export_id")
+    points = d.select("calendar_id", "boundary_us").distinct()
+    inside = in_closures(points, closures, "boundary_us").select("calendar_id", "boundary_us", F.lit(True).alias("inside"))
+    d = d.join(inside, ["calendar_id", "boundary_us"], "left")
+    reason = F.when(F.col("boundary_us") >= F.col("coverage_end_us"), "outside_coverage").when(F.col("inside"), "inside_closure").otherwise("scheduled_open")
+    is_open = reason == "scheduled_open"
+    return d.select("export_id", "bucket_start_us", is_open.alias("next_open"), reason.alias("next_reason"), (is_open & (F.col("state") != "closed") & (F.col("status") == "observed")).alias("next_eligible"))
+
+
 def tick_diagnostics(ticks: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
     """What an importer reports per export and observed period: count, first and last tick, longest gap, silences at both ends."""
     d = period_summaries(ticks, period_us)
