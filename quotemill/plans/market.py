@@ -11,7 +11,7 @@ from quotemill.operators import joins as J
 from quotemill.operators import levels as L
 from quotemill.operators import sessions as S
 from quotemill.operators import zones as Z
-from quotemill.session import table
+from quotemill.session import stored, table
 
 H = B.HOUR_US
 AS_OF = 1_705_276_800_000_000  # 2024-01-15
@@ -41,6 +41,12 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
     return B.with_mids(raw_bars(spark, folder))
 
 
+def stored_bars(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and parent bars, written once for queries that read them in many places."""
+    b = stored(base(spark, folder), "bars")
+    return b, stored(B.with_mids(B.bars_to_parents(b.drop(*B.PRICES))), "parents")
+
+
 def parents(spark: SparkSession, folder: str) -> DataFrame:
     return B.with_mids(B.bars_to_parents(raw_bars(spark, folder)))
 
@@ -195,9 +201,9 @@ def regimes(spark, folder):
     return I.regimes(I.pivots(base(spark, folder)))
 
 
-def seen_regimes(spark, folder):
-    found = I.regimes(I.pivots(base(spark, folder))).withColumnRenamed("start_us", "structure_us")
-    left = base(spark, folder).select("instrument", "start_us", F.col("available_us").alias("seen_us"))
+def seen_regimes(b):
+    found = stored(I.regimes(I.pivots(b)).withColumnRenamed("start_us", "structure_us"), "regimes")
+    left = b.select("instrument", "start_us", F.col("available_us").alias("seen_us"))
     return J.as_of_latest(left, found, ["instrument"], "seen_us", "available_us", ["structure_us", "available_us"], ["structure_us", "regime"])
 
 
@@ -206,7 +212,7 @@ ASOF = ", sr AS (SELECT b.instrument, b.start_us, max(rg.start_us) structure_us,
 
 @query(f"WITH {BARS}{pivot_sql('b', 3, 3)}{REGIMES}{ASOF} SELECT * FROM sr")
 def regime_asof(spark, folder):
-    return seen_regimes(spark, folder).select("instrument", "start_us", "structure_us", "regime")
+    return seen_regimes(stored_bars(spark, folder)[0]).select("instrument", "start_us", "structure_us", "regime")
 
 
 CANDLES = f""", cd AS (SELECT *, lag(open) OVER {W} po, lag("close") OVER {W} pc, abs("close"-open) body FROM b),
@@ -266,7 +272,7 @@ INVALID = f"""{ZONES}, iv AS (SELECT zn.instrument, impulse_us, direction, arg_m
 
 @query(f"WITH RECURSIVE {BARS}{INVALID} SELECT instrument, impulse_us, direction, ended_key[1] ended_us, round(ended_close,6) ended_close FROM iv")
 def zone_invalidations(spark, folder):
-    p = parents(spark, folder)
+    p = stored_bars(spark, folder)[1]
     return rounded(Z.invalidations(Z.zones(p, **GENTLE), p), "ended_close").select("instrument", "impulse_us", "direction", F.col("ended_key.available_us").alias("ended_us"), "ended_close")
 
 
@@ -277,19 +283,18 @@ eq AS (SELECT instrument, impulse_us, direction, island, any_value(origin_us) or
 ep AS (SELECT instrument, impulse_us, direction, origin_us, row_number() OVER (PARTITION BY instrument, impulse_us, direction ORDER BY first_touch_us) ordinal, first_touch_us, first_touch_end_us, last_touch_end_us, n_bars, available_us, CASE WHEN lets_go THEN 'left' WHEN ended_key IS NOT NULL THEN 'invalidated' END ended, ended_key[1] invalid_from_us FROM eq)"""
 
 
-def found_episodes(spark, folder):
-    p = parents(spark, folder)
-    return Z.episodes(Z.zones(p, **GENTLE), p, base(spark, folder))
+def found_episodes(b, p):
+    return Z.episodes(stored(Z.zones(p, **GENTLE), "zones"), p, b)
 
 
 @query(f"WITH RECURSIVE {BARS}{EPISODES} SELECT instrument, impulse_us, direction, ordinal, first_touch_us, last_touch_end_us, n_bars, available_us, ended FROM ep")
 def retest_episodes(spark, folder):
-    return found_episodes(spark, folder).select("instrument", "impulse_us", "direction", F.col("ordinal").cast("long").alias("ordinal"), "first_touch_us", "last_touch_end_us", "n_bars", "available_us", "ended")
+    return found_episodes(*stored_bars(spark, folder)).select("instrument", "impulse_us", "direction", F.col("ordinal").cast("long").alias("ordinal"), "first_touch_us", "last_touch_end_us", "n_bars", "available_us", "ended")
 
 
 @query(f'WITH RECURSIVE {BARS}{INVALID} SELECT zn.instrument, zn.impulse_us, zn.direction, round(lower,6) "lower", round(upper,6) "upper", coalesce(ended_key[1]>{AS_OF}, true) valid FROM zn LEFT JOIN iv ON iv.instrument=zn.instrument AND iv.impulse_us=zn.impulse_us AND iv.direction=zn.direction WHERE available_us<={AS_OF}')
 def zone_state_asof(spark, folder):
-    p = parents(spark, folder)
+    p = stored_bars(spark, folder)[1]
     return rounded(Z.zone_state(Z.zones(p, **GENTLE), p, AS_OF), "lower", "upper")
 
 
@@ -299,7 +304,8 @@ rt AS (SELECT cn.instrument, cn.direction, cn.start_us confirmation_us, ep.impul
 
 @query(f"WITH RECURSIVE {BARS}{RETESTS} SELECT * FROM rt")
 def retest_selection(spark, folder):
-    return Z.retest_selection(I.confirmations(base(spark, folder)), found_episodes(spark, folder))
+    b, p = stored_bars(spark, folder)
+    return Z.retest_selection(I.confirmations(b), found_episodes(b, p))
 
 
 DECISIONS = f"""{RETESTS}{pivot_sql("b", 3, 3)}{REGIMES}{ASOF},
@@ -309,9 +315,9 @@ de AS (SELECT instrument, start_us, CASE WHEN reason<>'evidence_complete' THEN '
 
 
 def all_decisions(spark, folder):
-    b = base(spark, folder)
-    c = I.confirmations(b)
-    return Z.decisions(b, c, seen_regimes(spark, folder), Z.retest_selection(c, found_episodes(spark, folder)))
+    b, p = stored_bars(spark, folder)
+    c = stored(I.confirmations(b), "confirmations")
+    return Z.decisions(b, c, seen_regimes(b), Z.retest_selection(c, found_episodes(b, p)))
 
 
 @query(f"WITH RECURSIVE {BARS}{DECISIONS} SELECT * FROM de")
@@ -490,7 +496,7 @@ ar AS (SELECT cn.instrument, cn.start_us, cn.direction, arg_max(atr, atr_rows.st
 SELECT instrument, start_us, direction, round(swing_price,6) swing_price, round(atr,6) atr, round(CASE direction WHEN 1 THEN floor((swing_price-0.15*atr)::DECIMAL(28,8)*100) ELSE ceil((swing_price+0.15*atr)::DECIMAL(28,8)*100) END::DOUBLE/100,6) "level" FROM sw JOIN ar USING (instrument, start_us, direction)"""
 )
 def protective_levels(spark, folder):
-    b = base(spark, folder)
+    b = stored_bars(spark, folder)[0]
     atr = I.with_atr(b, method="mean").where("atr is not null").select("instrument", "start_us", "atr", F.col("atr_known_us").alias("available_us"))
     d = L.protective_levels(I.confirmations(b).select("instrument", "start_us", "direction", "available_us"), I.pivots(b, 2, 2), atr)
     return rounded(d, "swing_price", "atr", "level").select("instrument", "start_us", "direction", "swing_price", "atr", "level")
@@ -498,11 +504,80 @@ def protective_levels(spark, folder):
 
 @query(
     f"""WITH RECURSIVE {BARS}{LEVELS}, ev AS (SELECT cn.*, b."close" price FROM cn JOIN b USING (instrument, start_us)),
-tg AS (SELECT DISTINCT ev.instrument, ev.start_us, ev.direction, ev.price, CASE direction WHEN 1 THEN floor(pv.price::DECIMAL(28,8)*100) ELSE ceil(pv.price::DECIMAL(28,8)*100) END::DOUBLE/100 target FROM ev JOIN pv ON pv.instrument=ev.instrument AND pv.available_us<=ev.available_us AND pv.kind=CASE direction WHEN 1 THEN 'high' ELSE 'low' END AND (pv.price-ev.price)*direction>0 AND abs(pv.price-ev.price)<=50)
-SELECT instrument, start_us, direction, count(*) n_targets, round(CASE direction WHEN 1 THEN min(target) ELSE max(target) END,6) nearest FROM tg WHERE (target-price)*direction>0 GROUP BY instrument, start_us, direction"""
+tg AS (
+  SELECT ev.instrument, ev.start_us, ev.direction, ev.price,
+    CASE direction WHEN 1 THEN floor(pv.price::DECIMAL(28,8)*100) ELSE ceil(pv.price::DECIMAL(28,8)*100) END::DOUBLE/100 target
+  FROM ev JOIN pv ON pv.instrument=ev.instrument AND pv.available_us<=ev.available_us AND pv.confirmed_us<=ev.end_us
+    AND pv.kind=CASE direction WHEN 1 THEN 'high' ELSE 'low' END)
+SELECT instrument, start_us, direction, count(*) n_targets,
+  round(CASE direction WHEN 1 THEN min(target) ELSE max(target) END,6) nearest,
+  round(CASE direction WHEN 1 THEN max(target) ELSE min(target) END,6) farthest
+FROM tg WHERE (target-price)*direction>0 GROUP BY instrument, start_us, direction"""
 )
 def target_ladders(spark, folder):
-    b = base(spark, folder)
-    e = I.confirmations(b).select("instrument", "start_us", "direction", "available_us").join(b.select("instrument", "start_us", F.col("close").alias("price")), ["instrument", "start_us"])
+    b = stored_bars(spark, folder)[0]
+    closes = b.select("instrument", "start_us", F.col("close").alias("price"))
+    e = I.confirmations(b).select("instrument", "start_us", "end_us", "direction", "available_us").join(closes, ["instrument", "start_us"])
     d = L.ladders(e, I.pivots(b, 2, 2))
-    return rounded(d.select("instrument", "start_us", "direction", F.size("ladder").cast("long").alias("n_targets"), F.get("ladder", F.lit(0))["target"].alias("nearest")), "nearest")
+    d = d.select(
+        "instrument", "start_us", "direction", F.size("ladder").cast("long").alias("n_targets"),
+        F.get("ladder", F.lit(0))["target"].alias("nearest"), F.element_at("ladder", -1)["target"].alias("farthest"),
+    )
+    return rounded(d, "nearest", "farthest")
+
+
+PRE_ROLL_END = 1_704_153_600_000_000  # 2024-01-02
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}{EPISODES}{pivot_sql("b", 2, 2)},
+ed AS (
+  SELECT ep.instrument, first_touch_us start_us, max(first_touch_end_us) end_us, max(ep.available_us) available_us,
+    max((ep.direction, ep.impulse_us, zn.lower, zn.upper, zn.available_us, zn.formed_us)) z, count(*) n_zones
+  FROM ep JOIN zn USING (instrument, impulse_us, direction) WHERE ordinal=1 GROUP BY 1,2),
+dn AS (
+  SELECT instrument, start_us, end_us, available_us, n_zones, CASE WHEN start_us//{H}%11=0 THEN 0 ELSE z[1] END direction,
+    CASE WHEN start_us//{H}%7=0 THEN -z[1] ELSE z[1] END zone_direction, z[3] lo, z[4] hi, z[5] z_known, z[6] z_formed,
+    start_us<{PRE_ROLL_END} pre_roll FROM ed),
+ax AS (SELECT p.instrument, p.end_us, q.known, r.y atr FROM q JOIN r USING (instrument, rn) JOIN p ON p.instrument=q.instrument AND p.start_us=q.start_us),
+dv AS (
+  SELECT dn.*,
+    (SELECT arg_max(price, (pv.start_us, pv.confirmed_us, pv.available_us)) FROM pv WHERE pv.instrument=dn.instrument
+      AND pv.kind=CASE direction WHEN 1 THEN 'low' ELSE 'high' END AND pv.confirmed_us<=dn.end_us AND pv.available_us<=dn.available_us) swing,
+    (SELECT arg_max(atr, (ax.end_us, ax.known)) FROM ax WHERE ax.instrument=dn.instrument AND ax.end_us<=dn.end_us AND ax.known<=dn.available_us) atr,
+    (SELECT list(CASE direction WHEN 1 THEN floor(price::DECIMAL(28,8)*100) ELSE ceil(price::DECIMAL(28,8)*100) END::DOUBLE/100) FROM pv
+      WHERE pv.instrument=dn.instrument AND pv.kind=CASE direction WHEN 1 THEN 'high' ELSE 'low' END
+      AND pv.confirmed_us<=dn.end_us AND pv.available_us<=dn.available_us) targets FROM dn),
+dr AS (
+  SELECT *, CASE direction WHEN 1 THEN floor((least(lo,swing)-0.15*atr)::DECIMAL(28,8)*100) ELSE ceil((greatest(hi,swing)+0.15*atr)::DECIMAL(28,8)*100) END::DOUBLE/100 st,
+    CASE WHEN pre_roll THEN 'pre_roll' WHEN direction=0 THEN 'candidate_no_trade' WHEN n_zones<>1 THEN 'ambiguous_selected_zone'
+      WHEN zone_direction<>direction THEN 'zone_direction_mismatch' WHEN z_known>available_us OR z_formed>end_us THEN 'zone_not_visible'
+      WHEN swing IS NULL THEN 'no_visible_m15_swing' WHEN atr IS NULL THEN 'no_visible_h1_atr' WHEN atr<=0 THEN 'non_positive_h1_atr'
+      WHEN targets IS NULL THEN 'no_visible_target' ELSE '{L.EXIT_READY}' END reason FROM dv)
+SELECT instrument, start_us, direction, reason, CASE WHEN reason='{L.EXIT_READY}' THEN round(st,6) END stop,
+  CASE WHEN reason='{L.EXIT_READY}' THEN len(targets) END n_targets,
+  CASE WHEN reason='{L.EXIT_READY}' THEN round(CASE direction WHEN 1 THEN list_min(targets) ELSE list_max(targets) END,6) END first_target FROM dr"""
+)
+def exit_plans(spark, folder):
+    """Plans at the first touch of each zone; some decisions are turned aside on purpose, by the hour."""
+    b, p = stored_bars(spark, folder)
+    z = stored(Z.zones(p, **GENTLE), "zones")
+    zone = F.struct("direction", "impulse_us", "lower", "upper", F.col("known_us").alias("known_us"), "formed_us")
+    e = Z.episodes(z, p, b).where("ordinal = 1").join(z.withColumnRenamed("available_us", "known_us").drop("origin_us"), ["instrument", "impulse_us", "direction"])
+    e = e.groupBy("instrument", F.col("first_touch_us").alias("start_us")).agg(
+        F.max("first_touch_end_us").alias("end_us"), F.max("available_us").alias("available_us"), F.max(zone).alias("z"), F.count("*").alias("n_zones")
+    )
+    hour = F.floor(F.col("start_us") / H)
+    d = e.select(
+        "instrument", "start_us", "end_us", "available_us", "n_zones",
+        F.when(hour % 11 == 0, 0).otherwise(F.col("z.direction")).alias("direction"),
+        F.when(hour % 7 == 0, -F.col("z.direction")).otherwise(F.col("z.direction")).alias("zone_direction"),
+        F.col("z.lower").alias("zone_lower"), F.col("z.upper").alias("zone_upper"), F.col("z.known_us").alias("zone_known_us"),
+        F.col("z.formed_us").alias("zone_formed_us"), (F.col("start_us") < PRE_ROLL_END).alias("pre_roll"),
+    )
+    atr = I.with_atr(p, GENTLE["period"]).where("atr is not null").select("instrument", "end_us", "atr", F.col("atr_known_us").alias("available_us"))
+    swings = I.pivots(b, 2, 2)
+    x = L.exit_plans(d, swings, atr, swings)
+    x = x.select("instrument", "start_us", "direction", "reason", "stop", F.size("targets").cast("long").alias("n"), F.get("targets", F.lit(0)).alias("first_target"))
+    x = x.withColumn("n_targets", F.when(F.col("n") >= 0, F.col("n"))).drop("n")
+    return rounded(x, "stop", "first_target")

@@ -30,21 +30,39 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, which all executors must see.
+
+    Where it is unset a temporary folder serves, but only if all executors run on this machine; elsewhere each would write to a
+    disk of its own and a reader would see a part of the rows, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quotemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``release`` removes it."""
+    return os.path.join(shared_dir(spark), "quotemill-" + spark.conf.get("spark.app.id", "app"))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Results not yet read depend on them: call it when done with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
     The files outlive lost executors. The schema is passed on, so that an empty table can be read too.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(own_dir(spark), f"{label}-{uuid.uuid4().hex}")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -40,12 +40,47 @@ def test_tick_files(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"\xff\x00\xfe")
     lines = tick_files.read_tick_lines(spark, str(tmp_path))
     assert lines.where("fault is null").count() == 6 and lines.where("fault is not null").count() == 1
-    ticks = tick_files.read_ticks(spark, str(tmp_path), 60).collect()
+    found, faults = tick_files.read_ticks(spark, str(tmp_path), 60)
+    ticks = found.collect()
+    said = sorted((f.path[-5:], f.source_row, f.reason) for f in faults.collect())
+    assert said == [("a.txt", 3, "wrong column count"), ("b.txt", 3, "wrong column count"), ("c.txt", 0, "not UTF-8")]
     assert [(t.source_row, t.bid, t.ask, t.ts) for t in ticks] == [(2, 1.0, 2.0, dt.datetime(2023, 12, 31, 23, 30, 0, 500000))] * 2
     with pytest.raises(ValueError):
         tick_files.read_ticks(spark, str(tmp_path), 900)
 
 
+def test_large_and_broken_tick_files(spark, tmp_path):
+    head = "<DATE>,<TIME>,<BID>,<ASK>,<LAST>,<VOLUME>\n"
+    row = lambda i: f"2024.01.01,{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d},1,2,,\n"
+    big = head + "".join(row(i) for i in range(3000))
+    (tmp_path / "big.txt").write_text("\ufeff" + big)
+    (tmp_path / "broken.txt").write_bytes(big.encode() + b"\xff\xfe\xff\n")
+    (tmp_path / "wide.txt").write_bytes(big.encode("utf-16"))
+    (tmp_path / "head.txt").write_text("<TIME>,<DATE>,<BID>,<ASK>,<LAST>,<VOLUME>\n" + row(0))
+    (tmp_path / "back.txt").write_text(head + row(5) + row(9) + row(7) + row(9))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # several ranges a file
+    try:
+        ticks, faults = tick_files.read_ticks(spark, str(tmp_path), 0, whole_bytes=1000)
+        rows = ticks.groupBy("file_id").agg(F.count("*").alias("n"), F.min("source_row").alias("a"), F.max("source_row").alias("b"), F.count_if(F.col("source_row") - 2 == F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("placed"))
+        assert sorted((r.n, r.a, r.b, r.placed) for r in rows.collect()) == [(4, 2, 5, 0), (3000, 2, 3001, 3000)]
+        said = sorted((f.path.rsplit("/")[-1], f.source_row, f.reason) for f in faults.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    unknown = "unknown header"
+    assert said == [("back.txt", 4, "steps back in time"), ("broken.txt", 0, "not UTF-8"), ("head.txt", 1, unknown), ("head.txt", 2, unknown), ("wide.txt", 0, "UTF-16 and too large")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from quotemill.session import shared_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: "spark://host:7077" if name == "spark.master" else default)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster())
+
+
 def calendar(**change):
     base = {k: "x" for k in documents.CALENDAR_FIELDS} | {"id": "C", "coverage_start": "2024-01-01T00:00:00Z", "coverage_end": "2024-01-02T00:00:00+00:00", "closures": [{"start": "2024-01-01T01:00:00Z", "end": "2024-01-01T02:00:00Z", "reason": "r"}]}
     return base | change
