@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from quotemill.llm.lookalikes import lookalike_pairs, mapping, normalise_texts, one_form
+from quotemill.llm.lookalikes import lookalike_classes, lookalike_pairs, mapping, normalise_texts, one_form
 from quotemill.llm.mixing import entropy, mix_documents, plan_mix, tempered
-from quotemill.llm.packing import pack_block, pack_documents, packing_report
+from quotemill.llm.packing import pack_block, pack_documents, packing_faults, packing_report
 from quotemill.llm.tokens import with_tokens
 
 DOCS = "doc_id long, source string, text string, n_tokens int, form string, plain string"
@@ -51,6 +51,17 @@ def test_packing_odd_rows(spark):
     assert pack_documents(docs(spark, []), limits).collect() == [] and pack_documents(docs(spark, rows), limits.where("false")).collect() == []
 
 
+def test_packing_does_not_depend_on_the_partitioning(spark):
+    """Many partitions: an oversize text in a late one, equal rows, and the same containers as from two partitions."""
+    rows = [(i % 40, "a", "word " * (i % 7)) for i in range(60)] + [(99, "a", "word " * 3000)]
+    limits = spark.createDataFrame([("small", 16, "x"), ("large", 64, "x")], LIMITS)
+    few, many, parts = (pack_documents(docs(spark, rows).repartition(n), limits, block_items=16, max_kinds=k) for n, k in ((2, 9), (40, 9), (3, 1)))
+    want = sorted(map(tuple, few.collect()))
+    assert sorted(map(tuple, many.collect())) == want and sorted(map(tuple, parts.collect())) == want
+    faults = packing_faults(few, docs(spark, rows)).collect()
+    assert [(f.n_documents, f.n_over_capacity, f.n_split_needlessly, f.n_not_covered, f.n_wrong_count) for f in faults] == [(61, 0, 0, 0, 0)] * 2
+
+
 def test_plan():
     target, repeats, tokens = np.array([0.5, 0.3, 0.2, 0.0]), np.array([1, 2, 3, 1]), np.array([100.0, 100, 0, 50])
     w, exponent, size = plan_mix(target, repeats, tokens)
@@ -62,6 +73,17 @@ def test_plan():
     goal = (entropy(tempered(target, share, 0)) + entropy(tempered(target, share, 1))) / 2
     assert abs(entropy(plan_mix(target, repeats, tokens, target_entropy=goal)[0]) - goal) < 1e-9
     assert plan_mix(np.zeros(0), np.zeros(0), np.zeros(0))[2] == 0
+    assert plan_mix(target, repeats, tokens, stretch=1.1)[2] == 176
+
+
+def test_many_sources_are_planned_by_passes(spark):
+    rows = [(i, "abc"[i % 3], "one two three four " * (i % 5 + 1)) for i in range(90)]
+    targets = spark.createDataFrame([("a", 0.7, 2, 1), ("b", 0.2, 2, 1), ("c", 0.1, 3, 1), ("z", 0.4, 1, 1)], TARGETS)
+    for how in ({"stretch": 1.3}, {"target_entropy": 0.9}):
+        one, many = (mix_documents(docs(spark, rows).repartition(p), targets, max_sources=n, block_documents=8, **how) for p, n in ((1, 9), (5, 1)))
+        assert sorted(map(tuple, one[0].collect())) == sorted(map(tuple, many[0].collect())), how
+        exponents = {round(r.exponent, 9) for r in [*one[1].collect(), *many[1].collect()]}
+        assert len(exponents) == 1 and 0 < exponents.pop() < 1
 
 
 def test_mix_tables(spark, tiny):
@@ -106,6 +128,15 @@ def test_pairs(spark):
     rows = [(1, "s", "café"), (2, "s", "café"), (3, "s", "café"), (4, "s", "cafe"), (2, "s", "café"), (None, "s", "café"), (5, "s", None), (6, "s", "plain"), (7, "s", "plain"), (8, "s", "p​lain"), (9, "s", ""), (10, "s", "​")]
     assert sorted(map(tuple, lookalike_pairs(docs(spark, rows)).collect())) == [(1, 2), (2, 3), (6, 8), (7, 8), (9, 10)]
     assert lookalike_pairs(docs(spark, [])).collect() == []
+    classes = {(r.doc_id, r.n_alike) for r in lookalike_classes(docs(spark, rows)).collect()}
+    assert classes == {(1, 1), (2, 2), (3, 1), (6, 1), (7, 1), (8, 2), (9, 1), (10, 1)}
+
+
+def test_hot_forms(spark):
+    """A copied text holds most rows; its form is repeated for the join, the rows are not."""
+    rows = [(i, "s", "é" if i % 3 else f"ａ{i}") for i in range(3000)]
+    out = normalise_texts(docs(spark, rows).select("doc_id", "text"))
+    assert sorted(map(tuple, out.select("doc_id", "form").collect())) == [(i, one_form(t)) for i, _, t in rows]
 
 
 def test_mapping_is_closed():
