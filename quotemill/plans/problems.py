@@ -1,4 +1,4 @@
-"""Queries p1 to p5: training-data preparation of the core, over whole tables."""
+"""Queries p1 and p3 to p5: training-data preparation of the core, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quotemill.operators.bad_rows import loaded_lines, rejected_lines, rejects
 from quotemill.operators.grid import regular_grid
 from quotemill.operators.implausible import flag_implausible
-from quotemill.operators.runs import collapse_runs
 from quotemill.operators.stamps import normalise_stamps
 from quotemill.session import table
 
@@ -25,18 +24,6 @@ def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(feeds, "tick_id").groupBy("feed_id", "reason").agg(F.count("*").alias("n_ticks"))
 
 
-def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    return collapse_runs(table(spark, folder, "bid_ask_ticks"), table(spark, folder, "feeds"))
-
-
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _runs(spark, folder).select("first_tick_id", "last_tick_id")
-
-
-def p2_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return _runs(spark, folder).select("export_id", "first_tick_id", "last_tick_id", "n_ticks", "duration_us")
-
-
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid(table(spark, folder, "bid_ask_ticks"), table(spark, folder, "tick_exports"), table(spark, folder, "session_closures"))
 
@@ -77,12 +64,9 @@ def p5_stamps(spark: SparkSession, folder: str) -> DataFrame:
     return _stamps(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_runs, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
 
 Q = 900_000_000
-RUNS = """WITH t AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks), o AS (SELECT t.*, price_tick/2 h, row_number() OVER w rn, lag(bid) OVER w pb, lag(ask) OVER w pa FROM t LEFT JOIN feeds USING (feed_id) WINDOW w AS (PARTITION BY export_id ORDER BY ts, source_row)),
-g AS (SELECT *, sum(CASE WHEN isfinite(bid) AND isfinite(ask) AND isfinite(pb) AND isfinite(pa) AND abs(bid-pb)<h AND abs(ask-pa)<h THEN 0 ELSE 1 END) OVER (PARTITION BY export_id ORDER BY rn) k FROM o),
-r AS (SELECT export_id, arg_min(tick_id, rn) first_tick_id, arg_max(tick_id, rn) last_tick_id, count(*) n_ticks, max(epoch_us(ts))-min(epoch_us(ts)) duration_us FROM g GROUP BY export_id, k HAVING count(*)>1)"""
 GRID = f"""WITH t AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks), b AS (SELECT export_id, s, count(*) n, max(u) last_us, max(gap) mg FROM (SELECT export_id, epoch_us(ts) u, epoch_us(ts)//{Q}*{Q} s, epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY export_id, epoch_us(ts)//{Q} ORDER BY ts, source_row)) gap FROM t) GROUP BY 1,2),
 g AS (SELECT export_id, calendar_id, unnest(generate_series((epoch_us(coverage_start)+{Q - 1})//{Q}*{Q}, epoch_us(coverage_end)//{Q}*{Q}-{Q}, {Q})) s FROM tick_exports),
 r AS (SELECT g.export_id, g.s bucket_start_us, coalesce(n,0) tick_count, CASE WHEN n>1 THEN mg/1e6 END maximum_intertick_seconds, CASE WHEN n>0 THEN 'observed' WHEN EXISTS (SELECT 1 FROM session_closures c WHERE c.calendar_id=g.calendar_id AND epoch_us(closure_start)<=g.s AND epoch_us(closure_end)>=g.s+{Q}) THEN 'closed' ELSE 'missing' END status,
@@ -96,8 +80,6 @@ k AS (SELECT file_id, source_row, coalesce(len(v)=n AND regexp_full_match(v[1],
 AND regexp_full_match(v[3], {NUMBER}) AND regexp_full_match(v[4], {NUMBER}) AND isfinite(bid) AND isfinite(ask) AND bid>0 AND ask>=bid AND (v[5]='' OR regexp_full_match(v[5], {NUMBER}) AND isfinite(lst) AND lst>=0) AND (v[6]='' OR regexp_full_match(v[6], {NUMBER}) AND isfinite(vol) AND vol>=0)
 AND (n<7 OR regexp_full_match(v[7], '[0-9]{{1,3}}') AND try_cast(v[7] AS INT) & ~126 = 0), false) valid FROM c)"""
 SQL: dict[str, str] = {
-    "p2_found": RUNS + " SELECT first_tick_id, last_tick_id FROM r",
-    "p2_runs": RUNS + " SELECT * FROM r",
     "p3_found": GRID + " SELECT export_id, bucket_start_us FROM r WHERE status='missing'",
     "p3_grid": GRID + " SELECT * FROM r",
     "p4_found": LINES + " SELECT file_id, source_row FROM k WHERE NOT valid",

@@ -10,10 +10,8 @@ import pytest
 
 from quotemill.operators.grid import regular_grid
 from quotemill.operators.implausible import SpikePolicy, flag_implausible, spikes
-from quotemill.operators.runs import agglomerate, collapse_runs
 
 TICKS = "tick_id long, export_id long, feed_id string, ts timestamp_ntz, source_row long, bid double, ask double, available_at timestamp_ntz, n long, shard int, edge int"
-FEEDS = "feed_id string, price_tick double, n int"
 EXPORTS = "export_id long, feed_id string, calendar_id string, coverage_start timestamp_ntz, coverage_end timestamp_ntz, status string"
 CLOSURES = "calendar_id string, closure_start timestamp_ntz, closure_end timestamp_ntz, reason string"
 T0 = dt.datetime(2025, 1, 6)
@@ -72,18 +70,16 @@ def market(seed, n=4000):
 def test_shards_do_not_show(spark, seed):
     rows, _ = market(seed)
     ticks = frame(spark, rows).repartition(7)
-    feeds = spark.createDataFrame([("F", 0.1, 1)], FEEDS)
     exports = spark.createDataFrame([(e, "F", "C", T0, T0 + dt.timedelta(hours=4), "x") for e in (1, 2, 3, 4)], EXPORTS)
     closures = spark.createDataFrame([("C", T0 + dt.timedelta(hours=3), T0 + dt.timedelta(hours=3, minutes=20), "r")], CLOSURES)
     results = []
     for n in (1, 11):
         with many_shards(spark, n):
             flags = set(map(tuple, flag_implausible(ticks, SpikePolicy(context=32)).distinct().collect()))
-            runs = set(map(tuple, collapse_runs(ticks, feeds).collect()))
             grid = set(map(tuple, regular_grid(ticks, exports, closures).collect()))
-            results.append((flags, runs, grid))
+            results.append((flags, grid))
     one, many = results
-    assert one[1] == many[1] and one[2] == many[2] and len(one[1]) > 20
+    assert one[1] == many[1] and len(one[1]) > 10
     assert one[0] == many[0] and {r for _, r in one[0]} == {"impossible", "spike", "stuck"}
 
 
@@ -107,23 +103,6 @@ def test_level_shift_and_long_excursion_are_no_spikes():
     assert spikes([1.0, 9.0], 1.0, 5.0, 5) == [] and spikes([], 1.0, 5.0, 5) == []
 
 
-def test_agglomeration_equals_islands():
-    rng = np.random.default_rng(5)
-    for n in (1, 2, 3, 50, 500):
-        d = rng.choice([0.0, 0.3, 0.7, 1.0, 2.0, np.inf], n - 1)
-        assert agglomerate(d).tolist() == [0, *(np.flatnonzero(d >= 1) + 1).tolist()]
-
-
-def test_run_rules(spark):
-    s = lambda k: T0 + dt.timedelta(seconds=k)
-    rows = [(1, 1, "F", s(1), 2, 10.0, 11.0), (2, 1, "F", s(1), 3, 10.04, 11.0), (3, 1, "F", s(2), 4, 10.08, 11.0), (4, 1, "F", s(3), 5, None, 11.0), (5, 1, "F", s(4), 6, 10.08, 11.0), (6, 1, "F", s(5), 7, 10.08, 11.0), (7, 2, "G", s(1), 2, 5.0, 6.0), (8, 2, "G", s(2), 3, 5.0, 6.0), (9, 3, None, s(1), 2, 5.0, 6.0), (10, 3, None, None, 3, 5.0, 6.0), (11, None, "F", s(1), 2, 5.0, 6.0), (12, None, "F", s(2), 2, 5.0, 6.0)]
-    feeds = spark.createDataFrame([("F", 0.1, 1), ("G", None, 1)], FEEDS)
-    got = {(r.first_tick_id, r.last_tick_id, r.n_ticks, r.duration_us) for r in collapse_runs(frame(spark, rows + rows[:2]), feeds).collect()}
-    assert got == {(1, 3, 3, 1_000_000), (5, 6, 2, 1_000_000), (11, 12, 2, 1_000_000)}
-    limited = {(r.first_tick_id, r.last_tick_id) for r in collapse_runs(frame(spark, rows), feeds, time_limit_us=500_000).collect()}
-    assert limited == {(1, 2)}
-
-
 def test_grid_cases(spark):
     h = lambda m: T0 + dt.timedelta(minutes=m)
     rows = [(1, 1, "F", h(1), 2, None, None), (2, 1, "F", h(3), 3, 1.0, 2.0), (3, 9, "F", h(1), 2, 1.0, 2.0), (4, 1, "F", h(500), 9, 1.0, 2.0)]
@@ -138,17 +117,13 @@ def test_grid_cases(spark):
 
 def test_empty_tables(spark):
     ticks = frame(spark, [])
-    feeds, exports, closures = (spark.createDataFrame([], x) for x in (FEEDS, EXPORTS, CLOSURES))
+    exports, closures = (spark.createDataFrame([], x) for x in (EXPORTS, CLOSURES))
     assert flag_implausible(ticks).collect() == []
-    assert collapse_runs(ticks, feeds).collect() == []
     assert regular_grid(ticks, exports, closures).collect() == []
 
 
 def test_many_sources_go_in_parts(spark):
     rows = [(i * 10 + k, k, f"F{k}", T0 + dt.timedelta(seconds=i), i, 10.0 + i % 3 + 90 * (i == 40), 20.0 + i % 3) for k in range(5) for i in range(80)]
-    feeds = spark.createDataFrame([(f"F{k}", 0.1 * k, 1) for k in range(5)], FEEDS)
     ticks = frame(spark, [(r[0] + 10_000 * r[1], *r[1:]) for r in rows])
     whole, parts = (sorted(map(tuple, flag_implausible(ticks, SpikePolicy(max_sources_sent=n)).distinct().collect())) for n in (50_000, 2))
     assert whole == parts and len({i // 10_000 for i, _ in whole}) == 5
-    whole, parts = (sorted(map(tuple, collapse_runs(ticks, feeds, max_feeds_sent=n).collect())) for n in (50_000, 2))
-    assert whole == parts
