@@ -44,7 +44,8 @@ def split_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     size = layout.agg(F.sum(F.lit(64) + F.length(F.concat_ws(",", "names")))).first()[0] or 0
     joined = rows.join(F.broadcast(layout), "file_id", "left") if size <= BROADCAST_BYTES else salted_join(rows, layout, ["file_id"], F.col("source_row"))
     fields = F.when(F.col("delimiter") == "\t", F.split("body", "\t", -1)).otherwise(F.split("body", ",", -1))
-    return joined.withColumn("raw_fields", fields).withColumn("fields", F.transform("raw_fields", _unquoted)).withColumn("count_ok", F.size("fields") == F.size("names"))
+    plain = F.when(F.col("body").contains('"'), F.transform("raw_fields", _unquoted)).otherwise(F.col("raw_fields"))
+    return joined.withColumn("raw_fields", fields).withColumn("fields", plain).withColumn("count_ok", F.size("fields") == F.size("names"))
 
 
 def _real_day(value: Column) -> Column:
@@ -71,16 +72,34 @@ def invalid_reason(kind: Column, value: Column) -> Column:
     )
 
 
-def _structural(split: DataFrame) -> DataFrame:
-    """Add structural, what is wrong with a line as a whole, or null."""
-    stray = F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"\z'))
+def checked_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Lines with source_row >= 2, split once and written: structural says what is wrong with a line as a whole (null: nothing),
+    cells are its fields with their column, crossed whether ask lies below bid. All further steps read this table, not the lines."""
+    stray = F.col("body").contains('"') & F.exists("raw_fields", lambda x: x.contains('"') & ~x.rlike(r'^"[^"]*"\z'))
     reason = F.when(F.col("names").isNull(), "no header").when(F.col("line").isNull(), "null line").when(stray, "broken quoting").when(~F.col("count_ok"), "wrong column count")
-    return split.withColumn("structural", reason)
+    d = split_lines(lines, files).withColumn("structural", reason)
+    pairs = F.arrays_zip(F.col("names").alias("kind"), F.col("fields").alias("value"))
+    d = d.withColumn("cells", F.when(F.col("structural").isNull(), F.filter(pairs, lambda c: c["kind"].isin(*COLUMNS))))
+    crossed = F.coalesce(_field("ask").try_cast("double") < _field("bid").try_cast("double"), F.lit(False))
+    return stored(d.select("file_id", "source_row", "structural", "cells", crossed.alias("crossed")), "checked-lines")
 
 
 def _field(name: str) -> Column:
-    """A line's field of a column; null where its file lacks the column."""
-    return F.when(F.array_contains("names", name), F.try_element_at("fields", F.array_position("names", F.lit(name)).cast("int")))
+    """A line's first field of a column; null where its file lacks the column."""
+    return F.get(F.filter("cells", lambda c: c["kind"] == name), F.lit(0))["value"]
+
+
+def _rejects(checked: DataFrame) -> DataFrame:
+    cells = checked.where("structural is null").select("file_id", "source_row", F.posexplode("cells").alias("at", "cell"))
+    cells = cells.select("file_id", "source_row", "at", F.col("cell.kind").alias("kind"), F.col("cell.value").alias("value"))
+    distinct = cells.select("kind", "value").distinct()
+    dictionary = stored(distinct.withColumn("why", invalid_reason(F.col("kind"), F.col("value"))).where("why is not null"), "invalid-values")
+    size = dictionary.agg(F.sum(F.lit(128) + F.length("value"))).first()[0] or 0
+    found = cells.join(F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary, ["kind", "value"])
+    wrong = found.groupBy("file_id", "source_row").agg(F.min_by(F.concat("kind", F.lit(": "), "why"), "at").alias("reason"))
+    crossed = checked.where("crossed").select("file_id", "source_row", F.lit("ask below bid").alias("reason"))
+    structural = checked.where("structural is not null").select("file_id", "source_row", F.col("structural").alias("reason"))
+    return structural.unionByName(wrong).unionByName(crossed.join(wrong, ["file_id", "source_row"], "left_anti"))
 
 
 def rejects(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -92,16 +111,7 @@ def rejects(lines: DataFrame, files: DataFrame) -> DataFrame:
     invalid column, ``ask below bid``. Empty lines have a wrong count. Rows with a null file_id have no header; a null
     source_row is no record. Lines are not shuffled: only distinct values and what is wrong are.
     """
-    split = _structural(split_lines(lines, files))
-    whole = split.where("structural is null")
-    cells = whole.select("file_id", "source_row", F.posexplode(F.arrays_zip("names", "fields")).alias("at", "cell")).select("file_id", "source_row", "at", F.col("cell.names").alias("kind"), F.col("cell.fields").alias("value"))
-    cells = cells.where(F.col("kind").isin(*COLUMNS))
-    dictionary = stored(cells.select("kind", "value").distinct().withColumn("why", invalid_reason(F.col("kind"), F.col("value"))).where("why is not null"), "invalid-values")
-    size = dictionary.agg(F.sum(F.lit(128) + F.length("value"))).first()[0] or 0
-    found = cells.join(F.broadcast(dictionary) if size <= BROADCAST_BYTES else dictionary, ["kind", "value"])
-    wrong = found.groupBy("file_id", "source_row").agg(F.min_by(F.concat("kind", F.lit(": "), "why"), "at").alias("reason"))
-    crossed = whole.where(_field("ask").try_cast("double") < _field("bid").try_cast("double")).select("file_id", "source_row", F.lit("ask below bid").alias("reason"))
-    return split.where("structural is not null").select("file_id", "source_row", F.col("structural").alias("reason")).unionByName(wrong).unionByName(crossed.join(wrong, ["file_id", "source_row"], "left_anti"))
+    return _rejects(checked_lines(lines, files))
 
 
 def rejected_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -114,8 +124,9 @@ def rejected_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 def loaded_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Typed ticks of the valid lines; local_time is the stamp as written, without zone."""
-    good = _structural(split_lines(lines, files)).where("structural is null").join(rejects(lines, files), ["file_id", "source_row"], "left_anti")
+    checked = checked_lines(lines, files)
+    good = checked.where("structural is null and not crossed").join(_rejects(checked), ["file_id", "source_row"], "left_anti")
     stamp = F.concat(F.regexp_replace(_field("date"), r"\.", "-"), F.lit(" "), _field("time"))
-    return good.select("file_id", "source_row", stamp.alias("_s"), *[_field(c).alias(c) for c in COLUMNS[2:]]).select(
-        "file_id", "source_row", F.col("_s").try_cast("timestamp_ntz").alias("local_time"), *[F.when(F.col(c) != "", F.col(c)).try_cast("int" if c == "flags" else "double").alias(c) for c in COLUMNS[2:]]
-    )
+    typed = [F.when(F.col(c) != "", F.col(c)).try_cast("int" if c == "flags" else "double").alias(c) for c in COLUMNS[2:]]
+    good = good.select("file_id", "source_row", stamp.alias("_s"), *[_field(c).alias(c) for c in COLUMNS[2:]])
+    return good.select("file_id", "source_row", F.col("_s").try_cast("timestamp_ntz").alias("local_time"), *typed)
