@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotemill.operators.joins import salted_join
 from quotemill.session import stored
@@ -22,7 +24,7 @@ ABBREVIATIONS = {
     "CST": {"America": -360, "Asia": 480}, "IST": {"Asia": 330, "Europe": 60}, "BST": {"Europe": 60, "Asia": 360},
 }
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
-ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{3,4})?\z"
+ZONE = r"\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{3,4})?\Z"
 # name, pattern, groups of (year, month, day, hour, minute, second, fraction, half of the day, zone); 0: none
 FORMATS = (
     ("ymd", r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})[T ]" + CLOCK + ZONE, (1, 3, 4, 5, 6, 7, 8, 0, 9)),
@@ -31,9 +33,9 @@ FORMATS = (
     ("month_name_first", r"^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 1, 2, 4, 5, 6, 7, 8, 9)),
     ("slash_day_first", r"^(\d{1,2})/(\d{1,2})/(\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 2, 1, 4, 5, 6, 7, 8, 9)),
     ("slash_month_first", r"^(\d{1,2})/(\d{1,2})/(\d{4}) " + CLOCK + r"(?: ([AP]M))?" + ZONE, (3, 1, 2, 4, 5, 6, 7, 8, 9)),
-    ("epoch", r"^(\d{9,10})(?:\.(\d{1,9}))?\z", None),
-    ("epoch_ms", r"^(\d{12,13})\z", None),
-    ("epoch_us", r"^(\d{15,16})\z", None),
+    ("epoch", r"^(\d{9,10})(?:\.(\d{1,9}))?\Z", None),
+    ("epoch_ms", r"^(\d{12,13})\Z", None),
+    ("epoch_us", r"^(\d{15,16})\Z", None),
 )
 BROADCAST_BYTES = 32 * 1024 * 1024  # what files state is sent to all tasks up to this size, else joined by a salted shuffle
 SLASHED = (4, 5)
@@ -41,49 +43,81 @@ EPOCH = 6
 WEEKDAYS = "Mon Tue Wed Thu Fri Sat Sun".split()
 
 
-def _fraction(digits: Column) -> Column:
-    """Microseconds of a decimal fraction's digits; digits beyond six are cut off."""
-    return F.coalesce(F.substring(F.rpad(digits, 6, "0"), 1, 6).try_cast("long"), F.lit(0))
+PARSED = "record_id long, file_id long, raw_timestamp string, kind int, main long, swapped long, zone_text string"
+
+
+def _readings() -> Callable[[str], tuple[int, int | None, int | None, str] | None]:
+    """A function that reads one stamp: the number of its format, its wall clock in microseconds as if in UTC (null if there is no
+    such day or time), the same with day and month exchanged if slashed, and the zone as written. None if no format fits."""
+    import datetime as dt
+    import re
+
+    forms = [(k, re.compile(pattern, re.ASCII).match, groups) for k, (_, pattern, groups) in enumerate(FORMATS) if k != SLASHED[1]]
+    months = {m: i + 1 for i, m in enumerate(MONTHS)}
+    epoch_day = dt.date(1970, 1, 1).toordinal()
+
+    def micros(digits: str | None) -> int:
+        return int((digits or "").ljust(6, "0")[:6])
+
+    def wall(year: int, month: int, day: int, clock: tuple[int, int, int, int, str]) -> int | None:
+        hour, minute, second, fraction, half = clock
+        if half:
+            if not 1 <= hour <= 12:
+                return None
+            hour = hour % 12 + (12 if half == "PM" else 0)
+        if hour > 23 or minute > 59 or second > 59:
+            return None
+        try:
+            days = dt.date(year, month, day).toordinal() - epoch_day
+        except ValueError:
+            return None
+        return (((days * 24 + hour) * 60 + minute) * 60 + second) * 1_000_000 + fraction
+
+    def read(text: str) -> tuple[int, int | None, int | None, str] | None:
+        text = text.strip(" ")
+        for k, match, groups in forms:
+            m = match(text)
+            if m:
+                break
+        else:
+            return None
+        if k >= EPOCH:
+            at = int(m[1]) * (1_000_000, 1000, 1)[k - EPOCH] + (micros(m[2]) if k == EPOCH else 0)
+            return k, at, None, ""
+        year, month, day, hour, minute, second, fraction, half, zone = (m[g] if g else None for g in groups)
+        month = months.get(month, 0) if month.isalpha() else int(month)
+        clock = (int(hour), int(minute), int(second or 0), micros(fraction), half or "")
+        main = wall(int(year), month, int(day), clock)
+        if k == 2 and m[1] and main is not None and WEEKDAYS[(main // 86_400_000_000 + 3) % 7] != m[1]:
+            main = None  # a weekday must be the day's own
+        return k, main, wall(int(year), int(day), month, clock) if k == SLASHED[0] else None, zone or ""
+
+    return read
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = _readings()
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+    for b in batches:
+        raw = b.column(2).dictionary_encode()
+        nothing = (None,) * 4
+        found = [read(t) or nothing for t in raw.dictionary.to_pylist()]
+        columns = zip(*found) if found else [()] * 4
+        values = [pa.array(v, t).take(raw.indices) for v, t in zip(columns, types)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *values], names=[x.split()[0] for x in PARSED.split(", ")])
 
 
-def _wall_micros(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, fraction: Column, half: Column) -> Column:
-    """Microseconds of a wall clock as if in UTC; null if there is no such day or time."""
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    valid = (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days) & hour24.between(0, 23) & (minute < 60) & (second < 60)
-    pick = lambda c, d: F.coalesce(F.when(valid, c), F.lit(d))
-    date = F.unix_date(F.make_date(pick(year, 2000), pick(month, 1), pick(day, 1))).cast("long")
-    return F.when(valid, (((date * 24 + hour24) * 60 + minute) * 60 + second) * 1_000_000 + fraction)
+def parsed_stamps(stamps: DataFrame) -> DataFrame:
+    """Stamps with every valid reading, each distinct text of a batch read once: kind is the number of the format, null if none fits;
+    main and swapped are its wall clocks in microseconds, swapped with day and month exchanged (slashed dates only)."""
+    rows = stamps.select(F.col("record_id").cast("long"), F.col("file_id").cast("long"), F.col("raw_timestamp").cast("string"))
+    return rows.mapInArrow(_parse, PARSED)
 
 
-def parsed_stamps(stamps: DataFrame) -> DataFrame:
-    """Stamps with every valid reading: readings is an array over FORMATS of wall-clock microseconds or null; signature its bits."""
-    raw = F.trim("raw_timestamp")
-    written = F.lit(None).cast("string")
-    for k, (_, pattern, groups) in reversed([*enumerate(FORMATS)]):
-        if k == SLASHED[1]:
-            continue  # both orders share a pattern
-        parts = "|".join(f"${g}" if g else "" for g in (groups or (1, 2 if k == EPOCH else 0)))
-        name = "$1" if k == 2 else ""
-        written = F.when(raw.rlike(pattern), F.regexp_replace(raw, pattern, f"{k}|{name}|{parts}")).otherwise(written)
-    # kind, weekday, then year month day hour minute second fraction half zone; or, of an epoch number, its digits and fraction
-    token = lambda i: F.get("tokens", F.lit(i))
-    number = lambda i: token(i).try_cast("int")
-    rows = stamps.select("record_id", "file_id", "raw_timestamp", F.split(written, r"\|", -1).alias("tokens"))
-    month = F.coalesce(number(3), F.array_position(F.array(*map(F.lit, MONTHS)), token(3)).cast("int"))
-    rows = rows.select("record_id", "file_id", "raw_timestamp", "tokens", number(0).alias("kind"), number(2).alias("year"), month.alias("month"), number(4).alias("day"), number(5).alias("hour"), number(6).alias("minute"), F.coalesce(number(7), F.lit(0)).alias("second"), _fraction(token(8)).alias("fraction"), token(9).alias("half"))
-    clock = [F.col(c) for c in ("hour", "minute", "second", "fraction", "half")]
-    main = F.when(F.col("kind") < EPOCH, _wall_micros(F.col("year"), F.col("month"), F.col("day"), *clock))
-    swapped = F.when(F.col("kind") == SLASHED[0], _wall_micros(F.col("year"), F.col("day"), F.col("month"), *clock))
-    digits = token(2).try_cast("long")
-    epoch = F.when(F.col("kind") == EPOCH, digits * 1_000_000 + _fraction(token(3))).when(F.col("kind") == EPOCH + 1, digits * 1000).when(F.col("kind") == EPOCH + 2, digits)
-    rows = rows.select("record_id", "file_id", "raw_timestamp", "kind", "tokens", F.coalesce(main, epoch).alias("main"), swapped.alias("swapped"))
-    weekday = F.get(F.array(*map(F.lit, WEEKDAYS)), F.pmod(F.floor(F.col("main") / 86_400_000_000) + 3, F.lit(7)).cast("int"))
-    main = F.when((F.col("kind") != 2) | (token(1) == "") | (token(1) == weekday), F.col("main"))  # a weekday must be the day's own
-    readings = F.array(*[F.when(F.col("kind") == SLASHED[0], F.col("swapped")) if k == SLASHED[1] else F.when(F.col("kind") == k, main) for k in range(len(FORMATS))])
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(len(FORMATS) - 1)), F.lit(0), lambda acc, k: acc + F.when(F.get("readings", k).isNotNull(), F.pow(F.lit(2), k).cast("int")).otherwise(0))
-    return rows.select("record_id", "file_id", "raw_timestamp", readings.alias("readings"), F.when(F.col("kind") < EPOCH, token(10)).otherwise("").alias("zone_text"), F.col("kind").isNotNull().alias("matched")).withColumn("signature", bits)
+def signature() -> Column:
+    """The bits of the formats in which a stamp is a valid reading."""
+    main = F.when(F.col("main").isNotNull(), F.expr("shiftleft(1, kind)")).otherwise(0)
+    return main + F.when(F.col("swapped").isNotNull(), 1 << SLASHED[1]).otherwise(0)
 
 
 def mixture_weights(signatures: np.ndarray, counts: np.ndarray, orders: np.ndarray, source: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -136,14 +170,40 @@ def _weights_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solved(held)
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """Names of time zones that the session's Java knows; a number fixed by its time zone data."""
-    try:
-        return sorted(z for z in spark._jvm.java.util.ArrayList(spark._jvm.java.time.ZoneId.getAvailableZoneIds()) if "/" in z)
-    except AttributeError:
-        import zoneinfo
-
-        return sorted(z for z in zoneinfo.available_timezones() if "/" in z)
+@F.pandas_udf(T.StringType())
+def _known_zone(names: pd.Series) -> pd.Series:
+    """The name where the time zone data of the Python workers, which also does the arithmetic, has such a zone; else null."""
+    import zoneinfo
+
+    there = zoneinfo.available_timezones()
+    return names.where(names.isin(there), None)
+
+
+@F.pandas_udf(T.StructType([T.StructField("early", T.LongType()), T.StructField("late", T.LongType())]))
+def _in_zone(local: pd.Series, zone: pd.Series) -> pd.DataFrame:
+    """The earlier and later instant at which a zone's clock shows local; null where it doesn't. Both are one if it shows it once."""
+    import datetime as dt
+    import zoneinfo
+
+    start, unit = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=1)
+    clocks: dict = {}
+    early: list = []
+    late: list = []
+    for us, name in zip(local.astype("Int64").tolist(), zone.tolist()):
+        a = b = None
+        if name is not None and us is not pd.NA:
+            if name not in clocks:
+                clocks[name] = zoneinfo.ZoneInfo(name)
+            try:
+                at = (start + dt.timedelta(microseconds=us)).replace(tzinfo=clocks[name])
+                first, second = at.utcoffset() // unit, at.replace(fold=1).utcoffset() // unit
+                if first >= second:  # else the clock skips it
+                    a, b = us - first, us - second
+            except OverflowError:
+                pass
+        early.append(a)
+        late.append(b)
+    return pd.DataFrame({"early": pd.array(early, dtype="Int64"), "late": pd.array(late, dtype="Int64")})
 
 
 def read_rules(files: DataFrame) -> DataFrame:
@@ -157,7 +217,8 @@ def read_rules(files: DataFrame) -> DataFrame:
     order = F.when(F.lower(rule).contains("day first"), "day").when(F.lower(rule).contains("month first"), "month")
     offset = F.when(F.col("utc_offset_minutes").between(-18 * 60, 18 * 60), F.col("utc_offset_minutes"))
     one = files.where("file_id is not null").select("file_id", zone.alias("z"), F.coalesce(clock, said).alias("rule_offset"), offset.alias("declared"), order.alias("slash_order"))
-    return one.withColumn("rule_zone", F.when(F.col("z").isin(known_zones(files.sparkSession)), F.col("z"))).drop("z").dropDuplicates(["file_id"])
+    named = one.withColumn("z", F.when(F.col("z") != "", F.col("z"))).dropDuplicates(["file_id"])
+    return named.withColumn("rule_zone", _known_zone("z")).drop("z")
 
 
 def _stamp_offset(zone_text: Column, rule_zone: Column) -> Column:
@@ -173,15 +234,6 @@ def _stamp_offset(zone_text: Column, rule_zone: Column) -> Column:
     return out
 
 
-def _in_zone(local: Column, zone: Column) -> tuple[Column, Column]:
-    """The earlier and later instant at which the zone's clock shows local; null where it doesn't. Both are one if it shows it once."""
-    day = 86_400_000_000
-    shown = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
-    before, after = local - (shown(local - day) - (local - day)), local - (shown(local + day) - (local + day))
-    a, b = F.when(shown(before) == local, before), F.when(shown(after) == local, after)
-    return F.least(a, b), F.greatest(a, b)
-
-
 def normalise_stamps(stamps: DataFrame, files: DataFrame, certainty: float = 0.99) -> DataFrame:
     """record_id, file_id, raw_timestamp, format, posterior, utc_us, status of every stamp.
 
@@ -192,34 +244,38 @@ def normalise_stamps(stamps: DataFrame, files: DataFrame, certainty: float = 0.9
     or offset, then utc_offset_minutes. Missing seconds are zero; decimals beyond six are cut off. A stamp with a null or
     unknown file_id has only its own zone. Repeated file rows count once; extra columns are left out.
     """
-    parsed = parsed_stamps(stamps)
+    parsed = stored(parsed_stamps(stamps), "stamps")
     rules = read_rules(files)
-    seen = parsed.where(F.col("file_id").isNotNull()).groupBy("file_id", "signature").agg(F.count("*").alias("n"))
-    # Unreadable values have signature 0 and no part in it. A filter on it would be pushed below the parsing and repeat it.
+    seen = parsed.where("file_id is not null and kind is not null").groupBy("file_id", signature().alias("signature")).agg(F.count("*").alias("n"))
     stated = seen.join(rules.select("file_id", "slash_order"), "file_id", "left")
     weights = stated.repartition("file_id").sortWithinPartitions("file_id", "signature").mapInPandas(_weights_of, WEIGHTS_DDL)
     layout = stored(rules.join(weights, "file_id", "full"), "stamp-layouts")
     n_bytes = layout.count() * (64 + 8 * len(FORMATS) + 32)
     rows = parsed.join(F.broadcast(layout), "file_id", "left") if n_bytes <= BROADCAST_BYTES else salted_join(parsed, layout, ["file_id"], F.col("record_id"))
-    even = F.array(*[F.lit(1.0)] * len(FORMATS))
-    joint = F.transform(F.arrays_zip("readings", F.coalesce("weights", even).alias("w")), lambda x: F.when(x["readings"].isNotNull(), x["w"]).otherwise(0.0))
-    rows = rows.withColumn("joint", joint).withColumn("total", F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)).withColumn("best", F.array_max("joint"))
-    at = (F.array_position("joint", F.col("best")) - 1).cast("int")
-    rows = rows.withColumn("at", F.when(F.col("total") > 0, at)).withColumn("posterior", F.when(F.col("total") > 0, F.col("best") / F.col("total")))
-    rows = rows.withColumn("local", F.get("readings", F.col("at"))).withColumn("n_readings", F.size(F.array_distinct(F.filter(F.transform(F.arrays_zip("readings", "joint"), lambda x: F.when(x["joint"] > 0, x["readings"])), lambda x: x.isNotNull()))))
+    # the share of each reading; a file without weights leaves all formats even
+    share = lambda k, reading: F.when(F.col(reading).isNotNull(), F.coalesce(F.get("weights", k), F.lit(1.0))).otherwise(0.0)
+    rows = rows.withColumns({"m": share(F.col("kind"), "main"), "s": share(F.lit(SLASHED[1]), "swapped")}).withColumn("total", F.col("m") + F.col("s"))
+    first = F.col("m") >= F.col("s")
+    rows = rows.withColumns({
+        "at": F.when(F.col("total") > 0, F.when(first, F.col("kind")).otherwise(SLASHED[1])),
+        "posterior": F.when(F.col("total") > 0, F.greatest("m", "s") / F.col("total")),
+        "local": F.when(F.col("total") > 0, F.when(first, F.col("main")).otherwise(F.col("swapped"))),
+        "differ": (F.col("m") > 0) & (F.col("s") > 0) & (F.col("main") != F.col("swapped")),
+    })
     names = F.array(*[F.lit(n) for n, _, _ in FORMATS])
     epoch = F.col("at") >= EPOCH
-    own = F.when(epoch, 0).otherwise(_stamp_offset(F.col("zone_text"), F.col("rule_zone")))
-    rows = rows.withColumn("own", own).withColumn("has_zone_text", ~epoch & (F.col("zone_text") != ""))
+    rows = rows.withColumn("has_zone_text", ~epoch & (F.col("zone_text") != ""))
+    rows = rows.withColumn("own", F.when(epoch, 0).when(F.col("has_zone_text"), _stamp_offset(F.col("zone_text"), F.col("rule_zone"))))
     fixed = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("rule_zone").isNull(), F.coalesce("rule_offset", "declared"))
     use_zone = F.col("own").isNull() & F.col("rule_zone").isNotNull() & ~F.col("has_zone_text")
-    early, late = _in_zone(F.col("local"), F.coalesce("rule_zone", F.lit("UTC")))
-    rows = rows.withColumn("fixed", F.when(~F.col("has_zone_text") | F.col("own").isNotNull(), fixed)).withColumn("use_zone", use_zone).withColumn("early", F.when(use_zone, early)).withColumn("late", F.when(use_zone, late))
+    rows = rows.withColumn("fixed", F.when(~F.col("has_zone_text") | F.col("own").isNotNull(), fixed)).withColumn("use_zone", use_zone)
+    rows = rows.withColumn("shown", _in_zone(F.when(F.col("use_zone"), F.col("local")), F.when(F.col("use_zone"), F.col("rule_zone"))))
+    rows = rows.withColumn("early", F.col("shown.early")).withColumn("late", F.col("shown.late"))
     status = (
         F.when(F.col("raw_timestamp").isNull(), "null")
-        .when(~F.col("matched"), "unreadable")
+        .when(F.col("kind").isNull(), "unreadable")
         .when(F.col("local").isNull(), "impossible")
-        .when((F.col("n_readings") > 1) & (F.col("posterior") < certainty), "ambiguous format")
+        .when(F.col("differ") & (F.col("posterior") < certainty), "ambiguous format")
         .when(F.col("has_zone_text") & F.col("own").isNull(), F.when(F.col("zone_text").rlike("^[+-]"), "impossible").otherwise("unclear zone name"))
         .when(F.col("use_zone") & F.col("early").isNull(), "skipped")
         .when(F.col("use_zone") & (F.col("early") != F.col("late")), "shown twice")
