@@ -4,12 +4,14 @@ Each side of a source's quotes is forecast by a local-level state-space model
 
     level[t+1] = level[t] + w,  var(w) = Q        reading[t] = level[t] + e,  var(e) = R
 
-and filtered with the steady-state Kalman gain. Q and R come from all of the source's moves over one and two readings
-(trimmed second moments of mergeable histograms). A standardised innovation above the threshold is withheld: the
-state keeps its level. If the readings come back to that level within a few ticks they were spikes; if not, the level
-has moved, the filter restarts there and nothing is flagged. With R = 0 the model's innovations are the moves between
-neighbours; a stretch whose innovation variance is exactly zero for longer than the source's own repeats explain (fewer
-than ``stuck_expected`` such stretches expected) is stuck.
+and filtered by Kalman's recursion. Q and R come from all of the source's moves over one and two readings (trimmed second
+moments of mergeable histograms). A standardised innovation above the threshold is withheld: the state keeps its level and
+grows less certain by Q at each withheld reading, so the gate widens. If the readings come back to the level within a few
+ticks they were spikes; if not, the level has moved, the filter restarts there and nothing is flagged.
+
+A source is stuck where the variance of its last innovations vanishes: while a reading repeats, what is left of an earlier
+innovation shrinks by one minus the gain at each step, and nothing else comes in. An exact check follows: the stretch must
+hold one value for longer than the source's own repeats explain (fewer than ``stuck_expected`` such stretches expected).
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators.joins import salted_join
 from quotemill.operators.shards import Piece, ordered_ticks, pieces
 from quotemill.session import stored
 
@@ -40,8 +42,7 @@ class SpikePolicy:
     """threshold: standard deviations of the innovation. max_spike: ticks that a spike may last. context: readings taken
     on either side of a shard's edge, half of which are decided there. stuck_expected: how many ordinary stretches of a
     source's side, whatever its size, are expected to be as long as a stuck one. max_sources_sent: up to so many sources,
-    their three numbers a side are sent to all tasks; more sources are split by hash into parts of about half as many, one
-    pass each."""
+    their three numbers a side are sent to all tasks; of more they are joined to the ticks, which costs one more shuffle."""
 
     threshold: float = 14.0
     max_spike: int = 5
@@ -51,7 +52,9 @@ class SpikePolicy:
 
 
 PROFILE_SCHEMA = "feed_id string, side int, kind int, bin int, n long, export_id long, shard int, edge int, bid double, first_id long, last_id long"
-PARAM_SCHEMA = "feed_id string, side int, gain double, gate double, stuck_length int"
+PARAM_SCHEMA = "feed_id string, side int, q double, r double, stuck_length int"
+NEVER = 2**31 - 1
+UNKNOWN = (0.0, 0.0, NEVER)
 OUT_SCHEMA = pa.schema(
     [("kind", pa.int32()), ("tick_id", pa.int64()), ("shard", pa.int32()), ("edge", pa.int32()), ("side", pa.int32()), ("export_id", pa.int64()), ("feed_id", pa.string()), ("pos", pa.int32()), ("owned", pa.bool_()), ("bid", pa.float64()), ("n", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("reason", pa.string())]
 )
@@ -186,7 +189,7 @@ def stuck_length(lengths: np.ndarray, n: np.ndarray, expected: float) -> int:
     order = np.argsort(lengths)
     lengths, n = lengths[order], n[order]
     if not n.sum():
-        return 2**31 - 1
+        return NEVER
     top = max(3, int(lengths[np.searchsorted(np.cumsum(n), max(1, int(0.9 * n.sum())))]))
     while True:
         body = lengths <= top
@@ -195,21 +198,21 @@ def stuck_length(lengths: np.ndarray, n: np.ndarray, expected: float) -> int:
         chance = min((float((np.maximum(repeats - 1, 0) * n[body]).sum()) + 4) / (float((repeats * n[body]).sum()) + 10), 0.9999)
         gate = longest + 1 + max(0, math.ceil(math.log(2 * expected) / math.log(chance)))
         if not ((lengths > top) & (lengths < gate)).any():
-            return min(gate, 2**31 - 1)
+            return min(gate, NEVER)
         top = gate - 1
 
 
 def fit(histogram: pd.DataFrame, policy: SpikePolicy) -> tuple[float, float, int]:
-    """Gain, gate and length of a stuck stretch from one source's histograms (columns kind, bin, n) of one side.
+    """Q, R and length of a stuck stretch from one source's histograms (columns kind, bin, n) of one side.
 
-    A source without any move gets a gate of 0 and is never stuck: nothing is known about how it normally quotes.
+    A source without any move gets variances of 0 and is never flagged: nothing is known about how it normally quotes.
     """
     square = {}
     scale = 0.0
     for lag in (1, 2):
         h = histogram[histogram.kind == lag].sort_values("bin")
         if h.empty:
-            return 1.0, 0.0, 2**31 - 1
+            return UNKNOWN
         size = np.where(h.bin == ZERO_BIN, 0.0, np.exp2((h.bin.to_numpy() + 0.5) / BINS_PER_OCTAVE))
         n = h.n.to_numpy()
         if lag == 1:
@@ -217,16 +220,14 @@ def fit(histogram: pd.DataFrame, policy: SpikePolicy) -> tuple[float, float, int
             if scale == 0 and (size > 0).any():
                 scale = _quantile(size[size > 0], n[size > 0], 0.5)
             if scale == 0:
-                return 1.0, 0.0, 2**31 - 1
+                return UNKNOWN
         normal = size <= 6 * lag**0.5 * scale
         square[lag] = float((size[normal] ** 2 * n[normal]).sum() / n[normal].sum())
     one, two = square[1], square[2]
     q = min(max(two - one, 0.1 * one), one)
     r = max((one - q) / 2, 0.0)
-    p = (q + math.sqrt(q * q + 4 * q * r)) / 2
-    s = p + r
     runs = histogram[histogram.kind == 0]
-    return p / s, policy.threshold * math.sqrt(s), stuck_length(runs.bin.to_numpy(), runs.n.to_numpy(), policy.stuck_expected)
+    return q, r, stuck_length(runs.bin.to_numpy(), runs.n.to_numpy(), policy.stuck_expected)
 
 
 def source_parameters(ordered: DataFrame, policy: SpikePolicy) -> DataFrame:
@@ -239,8 +240,8 @@ def source_parameters(ordered: DataFrame, policy: SpikePolicy) -> DataFrame:
         more = [(0, b, n) for b, n in joined.items()]
         more += [(lag, b, n) for _, e in pdf[pdf.kind == 4].groupby("export_id") for lag, c in moves_over_edges(e).items() for b, n in c.items() if n]
         histogram = pd.concat([pdf.loc[pdf.kind < 3, ["kind", "bin", "n"]], pd.DataFrame(more, columns=["kind", "bin", "n"], dtype="int64")])
-        gain, gate, length = fit(histogram.groupby(["kind", "bin"], as_index=False).sum(), policy)
-        return pd.DataFrame({"feed_id": [pdf.feed_id.iloc[0]], "side": [pdf.side.iloc[0]], "gain": [gain], "gate": [gate], "stuck_length": [length]})
+        q, r, length = fit(histogram.groupby(["kind", "bin"], as_index=False).sum(), policy)
+        return pd.DataFrame({"feed_id": [pdf.feed_id.iloc[0]], "side": [pdf.side.iloc[0]], "q": [q], "r": [r], "stuck_length": [length]})
 
     return histogram.groupBy("feed_id", "side").applyInPandas(one, PARAM_SCHEMA)
 
@@ -248,36 +249,88 @@ def source_parameters(ordered: DataFrame, policy: SpikePolicy) -> DataFrame:
 # --- filtering -----------------------------------------------------------------------------------------------------
 
 
-def spikes(y: list[float], gain: float, gate: float, max_spike: int) -> list[int]:
-    """Places in y of readings that leave the filtered level for at most max_spike readings and come back to it."""
+def steady(q: float, r: float) -> tuple[float, float]:
+    """Variance of the level after an update, and of the innovation, once the recursion has settled."""
+    before = (q + math.sqrt(q * q + 4 * q * r)) / 2
+    return before * r / (before + r) if before + r else 0.0, before + r
+
+
+def spikes(y: list[float], q: float, r: float, threshold: float, max_spike: int) -> tuple[list[int], list[int]]:
+    """Places in y of readings that leave the filtered level for at most max_spike readings and come back to it; and the places at
+    which the filter restarts, as the level has moved.
+
+    A reading is back if its innovation is inside the gate, which widens while readings are withheld, and if it is much
+    nearer to the reading before the spike than the spike ever was.
+    """
     found: list[int] = []
-    if len(y) < 3 or gate <= 0:
-        return found
-    level, i, n = y[0], 1, len(y)
-    low, high = level - gate, level + gate
+    restarts: list[int] = []
+    if len(y) < 3 or q + r <= 0:
+        return found, restarts
+    settled, innovation = steady(q, r)
+    usual_gain, usual_gate = (settled + q) / innovation, threshold * math.sqrt(innovation)
+    level, p, i, n = y[0], r, 1, len(y)
     while i < n:
         v = y[i]
-        if low <= v <= high:
+        if abs(p - settled) <= 1e-9 * innovation:
+            p, gain, gate = settled, usual_gain, usual_gate
+        else:
+            gain, gate = (p + q) / (p + q + r), threshold * math.sqrt(p + q + r)
+        if abs(v - level) <= gate:
             level += gain * (v - level)
-            low, high = level - gate, level + gate
+            p = (1 - gain) * (p + q)
             i += 1
             continue
-        j = i + 1
-        stop = min(n, i + max_spike + 1)
-        while j < stop and not low <= y[j] <= high:
+        away, j, stop = abs(v - level), i + 1, min(n, i + max_spike + 1)
+        p += q  # withheld: the level stays, and is less certain
+        while j < stop:
+            gate = threshold * math.sqrt(p + q + r)
+            if abs(y[j] - level) <= gate and abs(y[j] - y[i - 1]) <= 0.6 * away:
+                break
+            away = min(away, abs(y[j] - level))
+            p += q
             j += 1
         if j < stop:
-            away = min(abs(x - level) for x in y[i:j])
-            if abs(y[j] - y[i - 1]) <= 0.6 * away:
-                found.extend(range(i, j))
+            found.extend(range(i, j))
             i = j
         elif j < n:  # the level has moved: start again at it
-            level = v
-            low, high = level - gate, level + gate
+            level, p = v, r
+            restarts.append(i)
             i += 1
         else:  # the end comes before the readings return
             break
-    return found
+    return found, restarts
+
+
+def innovations(y: np.ndarray, q: float, r: float, withheld: list[int], restarts: list[int]) -> np.ndarray:
+    """Innovations of the settled filter at each reading; 0 where it starts, NaN where the reading is withheld."""
+    settled, innovation = steady(q, r)
+    gain = (settled + q) / innovation
+    out = np.full(len(y), np.nan)
+    use = np.ones(len(y), bool)
+    use[withheld] = False
+    for a, b in zip([0, *restarts], [*restarts, len(y)]):
+        at = a + np.flatnonzero(use[a:b])
+        if len(at):
+            level = pd.Series(y[at]).ewm(alpha=gain, adjust=False).mean().to_numpy()
+            out[at[0]] = 0.0
+            out[at[1:]] = y[at[1:]] - level[:-1]
+    return out
+
+
+def vanishing(nu: np.ndarray, q: float, r: float, length: int, threshold: float) -> np.ndarray:
+    """Where the mean square of the last half of ``length`` innovations has vanished: not above what the filter's own decay leaves, in
+    the other half, of the largest innovation that it accepts. True at every place by which ``length`` equal readings have passed."""
+    m = max(1, length // 2)
+    out = np.zeros(len(nu), bool)
+    if len(nu) < length or q + r <= 0:
+        return out
+    settled, innovation = steady(q, r)
+    rest = (1 - (settled + q) / innovation) ** (length - 1 - m)
+    square = np.concatenate([[0.0], np.cumsum(np.nan_to_num(nu) ** 2)])
+    variance = (square[m:] - square[:-m]) / m
+    slack = 1e-12 * square[m:] + 1e-9 * innovation  # of the running sum, and of nothing at all
+    out[m - 1 :] = variance <= (threshold * rest) ** 2 * innovation + slack
+    return out
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -304,15 +357,17 @@ def flag_shard(param_of, policy: SpikePolicy):
             spike = np.zeros(n, bool)
             for side in (0, 1):
                 values, has = (p.bid, p.has_bid) if side == 0 else (p.ask, p.has_ask)
-                gain, gate, length = param.get((p.feed_id, side), (1.0, 0.0, 2**31 - 1))
+                q, r, length = param.get((p.feed_id, side), UNKNOWN)
                 ok = usable(values, has)
                 at = np.flatnonzero(ok)
                 m = len(at)
                 half = c // 2 if m >= c else m
                 head, tail = half if p.first else 0, half if p.last else 0
-                if head + tail < m:
-                    inner = [i for i in spikes(values[at].tolist(), gain, gate, policy.max_spike) if head <= i < m - tail]
-                    spike[at[inner]] = True
+                still = np.zeros(n, bool)
+                if q + r > 0 and m:
+                    out, moved = spikes(values[at].tolist(), q, r, policy.threshold, policy.max_spike)
+                    still[at] = vanishing(innovations(values[at], q, r, out, moved), q, r, length, policy.threshold)
+                    spike[at[[i for i in out if head <= i < m - tail]]] = True
                 whole = p.first and p.last and m < c
                 for on, kind, some, mine in ((whole, WHOLE, slice(0, m), (0, m)), (p.first and not whole, FIRST, slice(0, c), (0, head)), (p.last and not whole, LAST, slice(max(0, m - c), m), (m - tail, m))):
                     if on and m:
@@ -321,11 +376,13 @@ def flag_shard(param_of, policy: SpikePolicy):
                         yield _rows(kind=EDGE, shard=p.shard, edge=kind, side=side, export_id=p.export_id, feed_id=p.feed_id, pos=pos, owned=owned, tick_id=p.tick_id[at[some]], bid=values[at[some]])
                 starts, lengths = equal_runs(values, ok)
                 edge = edge_kinds(p, len(starts))
-                for r in np.flatnonzero(ok[starts] & ((lengths >= length) & (edge < 0))):
-                    stuck[starts[r] : starts[r] + lengths[r]] = True
-                for r in np.flatnonzero(edge >= 0):
-                    a, m = int(starts[r]), int(lengths[r])
-                    summary = {"shard": p.shard, "edge": int(edge[r]), "side": side, "export_id": p.export_id, "feed_id": p.feed_id}
+                for k in np.flatnonzero(ok[starts] & (lengths >= length) & (edge < 0)):
+                    a, b = int(starts[k]), int(starts[k] + lengths[k])
+                    if still[b - 1]:
+                        stuck[a:b] = True
+                for k in np.flatnonzero(edge >= 0):  # decided once their parts in other shards are known
+                    a, m = int(starts[k]), int(lengths[k])
+                    summary = {"shard": p.shard, "edge": int(edge[k]), "side": side, "export_id": p.export_id, "feed_id": p.feed_id}
                     yield _rows(kind=RUN, bid=[values[a] if ok[a] else None], n=[m], first_id=[int(p.tick_id[a])], last_id=[int(p.tick_id[a + m - 1])], **summary)
                     if ok[a]:
                         yield _rows(kind=PENDING, tick_id=p.tick_id[a : a + m], **summary)
@@ -348,9 +405,9 @@ def _edge_spikes(param_of, policy: SpikePolicy):
             g = g[~same]
             feed = g.feed_id.iloc[0]
             p = Piece(0, 0, feed, True, True, *[np.zeros(0)] * 7)
-            gain, gate, _ = param_of(p).get((feed, side), (1.0, 0.0, 0))
+            q, r, _ = param_of(p).get((feed, side), UNKNOWN)
             found = np.zeros(len(g), bool)
-            found[spikes(g.bid.tolist(), gain, gate, policy.max_spike)] = True
+            found[spikes(g.bid.tolist(), q, r, policy.threshold, policy.max_spike)[0]] = True
             out += g.tick_id[found & g.owned.to_numpy().astype(bool)].tolist()
         return pd.DataFrame({"tick_id": pd.Series(out, dtype="int64")})
 
@@ -364,7 +421,7 @@ def _merge_runs(param_of):
         groups, members = join_stretches(pdf)
         feed, side = pdf.feed_id.iloc[0], int(pdf.side.iloc[0])
         p = Piece(0, 0, feed, True, True, *[np.zeros(0)] * 7)
-        length = param_of(p).get((feed, side), (1.0, 0.0, 2**31 - 1))[2]
+        length = param_of(p).get((feed, side), UNKNOWN)[2]
         stuck = [(s, e, side) for g, m in zip(groups, members) if g[1] >= length for s, e in m]
         return pd.DataFrame(stuck, columns=["shard", "edge", "side"]).astype("int32")
 
@@ -380,21 +437,38 @@ def flag_implausible(ticks: DataFrame, policy: SpikePolicy = SpikePolicy()) -> D
     feed a feed, of their own. An export of fewer than three readings has no spikes. An empty table gives an empty result.
     """
     spark = ticks.sparkSession
-    ordered = ordered_ticks(ticks).persist(StorageLevel.DISK_ONLY)
+    ordered = ordered_ticks(ticks).persist(StorageLevel.DISK_ONLY)  # on executors' disks: lost parts are sorted anew
     params = stored(source_parameters(ordered, policy), "implausible-params")
-    n_sources = params.select("feed_id").distinct().count()
-    if n_sources > policy.max_sources_sent:  # too many to send at once: the sources in parts, each with its own ticks
+    if params.select("feed_id").distinct().count() > policy.max_sources_sent:
         ordered.unpersist()
-        parts = 2 * -(-n_sources // policy.max_sources_sent)
-        part = F.pmod(F.xxhash64("feed_id"), F.lit(parts))
-        one = replace(policy, max_sources_sent=n_sources)
-        return reduce(DataFrame.unionByName, [flag_implausible(ticks.where(part == k), one) for k in range(parts)])
-    known = {(r.feed_id, r.side): (r.gain, r.gate, r.stuck_length) for r in params.collect()}
+        return _flagged(ordered_ticks(_travelling(ticks, params)), _travelled, policy)
+    known = {(r.feed_id, r.side): (r.q, r.r, r.stuck_length) for r in params.collect()}
     sent = spark.sparkContext.broadcast(known)
+    return _flagged(ordered, lambda p: sent.value, policy)
+
+
+NULL_FEED = "\0"
+
+
+def _travelling(ticks: DataFrame, params: DataFrame) -> DataFrame:
+    """Ticks whose feed_id begins with their feed's parameters, joined by a salted shuffle: for more feeds than are sent to all tasks."""
+    numbers = [F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}{side}") for side in (0, 1) for c in ("q", "r", "stuck_length")]
+    one = params.groupBy(F.coalesce("feed_id", F.lit(NULL_FEED)).alias("_feed")).agg(*numbers)
+    text = [F.coalesce(F.col(f"{c}{side}"), F.lit(v)).cast("string") for side in (0, 1) for c, v in zip(("q", "r", "stuck_length"), UNKNOWN)]
+    one = one.select("_feed", F.concat_ws("|", *text, "_feed").alias("_named"))
+    d = salted_join(ticks.withColumn("_feed", F.coalesce("feed_id", F.lit(NULL_FEED))), one, ["_feed"], F.col("tick_id"))
+    return d.withColumn("feed_id", F.col("_named")).drop("_feed", "_named")
+
+
+def _travelled(p: Piece) -> dict:
+    """The parameters in front of a feed's name."""
+    if p.feed_id is None:
+        return {}
+    n = p.feed_id.split("|", 6)
+    return {(p.feed_id, side): (float(n[3 * side]), float(n[3 * side + 1]), int(float(n[3 * side + 2]))) for side in (0, 1)}
 
-    def param_of(_: Piece) -> dict:
-        return sent.value
 
+def _flagged(ordered: DataFrame, param_of, policy: SpikePolicy) -> DataFrame:
     out = stored(ordered.mapInArrow(flag_shard(param_of, policy), OUT_DDL), "implausible", "kind")
     ordered.unpersist()
     pending = out.where(F.col("kind") == PENDING).select("tick_id", "shard", "edge", "side")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quotemill.operators.implausible import SpikePolicy, flag_implausible, stuck_length
+from quotemill.operators.implausible import SpikePolicy, flag_implausible, innovations, spikes, steady, stuck_length, vanishing
 from tests.test_ordered import T0, frame, many_shards
 
 
@@ -89,3 +89,24 @@ def test_spike_among_shards_of_one_tick(spark):
         with many_shards(spark, shards):
             found.append({(r.tick_id, r.reason) for r in flag_implausible(frame(spark, rows).repartition(16)).collect()})
     assert found == [{(4, "spike")}] * 2
+
+
+def test_gate_widens_and_gain_follows_the_variances():
+    """With noise the gain is below 1 and settles; a reading that returns after a long spike is back though the level has drifted."""
+    settled, innovation = steady(1.0, 4.0)
+    assert abs((settled + 1.0) / innovation - 0.3903882032) < 1e-9 and steady(1.0, 0.0) == (0.0, 1.0)
+    calm = [100.0, 100.5, 99.5] * 20
+    assert spikes(calm + [200.0, 200.0, 104.0] + calm, 1.0, 0.0, 3.0, 5)[0] == [60, 61]  # 104 lies outside the first gate
+    assert spikes(calm + [200.0] * 9 + [201.0] * 9, 1.0, 0.0, 3.0, 5) == ([], [60])
+
+
+def test_innovation_variance_vanishes_on_stretches():
+    rng = np.random.default_rng(2)
+    for q, r in ((1.0, 0.0), (1.0, 0.3), (0.2, 1.0)):
+        y = 100 + np.cumsum(np.round(rng.normal(0, 1, 600), 1))
+        y[200:230] = y[200]
+        found, moved = spikes(y.tolist(), q, r, 14.0, 5)
+        still = vanishing(innovations(y, q, r, found, moved), q, r, 12, 14.0)
+        assert still[211:230].all()
+        if r < 1:
+            assert not still[:200].any() and not still[240:].any()

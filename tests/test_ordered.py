@@ -94,13 +94,17 @@ def test_flags_what_was_planted(spark):
     assert len(got["stuck"]) % 60 < 10 and len(got["stuck"]) >= 60
 
 
+def level_spikes(y):
+    return spikes(y, 1.0, 0.0, 5.0, 5)[0]
+
+
 def test_level_shift_and_long_excursion_are_no_spikes():
     y = [100.0] * 10 + [150.0] * 10
-    assert spikes(y, 1.0, 5.0, 5) == []
-    assert spikes([100.0] * 5 + [150.0] * 5 + [100.0] * 5, 1.0, 5.0, 5) == [5, 6, 7, 8, 9]
-    assert spikes([100.0] * 5 + [150.0] * 6 + [100.0] * 5, 1.0, 5.0, 5) == []
-    assert spikes([100.0] * 5 + [150.0], 1.0, 5.0, 5) == []
-    assert spikes([1.0, 9.0], 1.0, 5.0, 5) == [] and spikes([], 1.0, 5.0, 5) == []
+    assert level_spikes(y) == []
+    assert level_spikes([100.0] * 5 + [150.0] * 5 + [100.0] * 5) == [5, 6, 7, 8, 9]
+    assert level_spikes([100.0] * 5 + [150.0] * 6 + [100.0] * 5) == []
+    assert level_spikes([100.0] * 5 + [150.0]) == []
+    assert level_spikes([1.0, 9.0]) == [] and level_spikes([]) == []
 
 
 def test_grid_cases(spark):
