@@ -146,3 +146,21 @@ def test_backtest_reversal_and_halt(spark):
     fall = bars(spark, [(100, 100, 100, 100), (100, 100, 40, 50), (50, 50, 50, 50), (50, 50, 50, 50)], spread=0.0).withColumn("target", F.lit(1))
     assert column(T.replay(fall, T.Costs(cash=100, max_drawdown=0.3)), "position") == [0, 1, 0, 0]
     assert T.replay(fall.where("false")).collect() == []
+
+
+def test_backtest_limits(spark):
+    flat = [(100, 100, 100, 100)] * 4
+    refused = lambda d, **c: [r.refused for r in T.replay(d, T.Costs(cash=1000.0, **c)).orderBy("start_us").collect()]
+    long, short = (bars(spark, flat, spread=2.0).withColumn("target", F.lit(t)) for t in (1, -1))
+    assert set(refused(long, units=2.0, max_units=1.0)) == {"requested units exceed policy limit", None}
+    assert refused(short, allow_short=False)[0] == "short positions are disabled"
+    assert refused(long, max_spread_bps=100.0)[0] == "spread exceeds policy limit" and set(refused(long, max_spread_bps=300.0)) == {None}
+    # the peak rises by the worst of a bar, not by its close: 1000 + 50 - 40 = 1010, so a fall to 990 is just under 2 percent
+    up = bars(spark, [(100, 100, 100, 100), (100, 150, 110, 150), (150, 150, 90, 90), (90, 90, 90, 90)], spread=0.0).withColumn("target", F.lit(1))
+    assert refused(up, max_drawdown=0.019) == [None, None, "maximum drawdown reached", "maximum drawdown reached"]
+    assert refused(up, max_drawdown=0.03)[2] is None
+    # the UTC day of a review is that of the bar's end; its first checked equity is the day's start
+    days = bars(spark, [(100, 100, 100, 100)] * 23 + [(100, 100, 60, 60), (60, 60, 40, 40), (40, 40, 40, 40)], spread=0.0).withColumn("target", F.lit(1))
+    assert refused(days, max_daily_loss=0.03)[23:] == [None, None, None] and refused(days, max_daily_loss=0.02)[24] == "maximum daily loss reached"
+    s = T.summary(T.replay(long, T.Costs(cash=1000.0)), 1000.0).first()
+    assert (s.net, s.gross, s.n_fills, s.n_closed, s.exposure) == pytest.approx((-2.0, 0.0, 2, 1, 0.75))
