@@ -27,6 +27,19 @@ def ticks_of_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("instrument"), ts.alias("ts_us"), F.col("event_id").alias("source_row"), bid.alias("bid"), (bid + F.lit(0.26)).alias("ask"), (ts + F.col("event_id") % 11 * 60_000_000).alias("available_us"))
 
 
+def ticks_of_feeds(ticks: DataFrame) -> DataFrame:
+    """Quotes of bid_ask_ticks, the feed as instrument: a tick counts once, known from its first delivery.
+
+    Left out are ticks without key or time, and those of which a side is null, NaN, infinite or not positive, or whose ask lies below the
+    bid: a bar is made of whole quotes only. Copies are merged by one shuffle with partial aggregation.
+    """
+    price = [F.col(c).cast("double").alias(c) for c in ("bid", "ask")]
+    d = ticks.select("tick_id", F.col("feed_id").alias("instrument"), micros(F.col("ts")).alias("ts_us"), "source_row", *price, micros(F.col("available_at")).alias("available_us"))
+    # NaN and infinity are above all numbers
+    d = d.where((F.col("bid") > 0) & (F.col("ask") < float("inf")) & (F.col("bid") <= F.col("ask")) & F.col("tick_id").isNotNull())
+    return d.groupBy("tick_id", "instrument", "ts_us", "source_row", "bid", "ask").agg(F.min("available_us").alias("available_us")).drop("tick_id")
+
+
 def ticks_to_bars(ticks: DataFrame, period_us: int = HOUR_US) -> DataFrame:
     """One bar per instrument and period with ticks. Equal times keep their source_row order; ticks with a null key, time or side are left out."""
     at = F.struct("ts_us", "source_row")

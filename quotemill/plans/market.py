@@ -57,10 +57,25 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 # Shared statements
 TICKS = "t AS (SELECT event_type instrument, epoch_us(ts) ts_us, event_id source_row, 2000.0+value bid, 2000.0+value+0.26 ask, epoch_us(ts)+event_id%11*60000000 available_us FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL)"
-BARS = TICKS + f""", rb AS (SELECT instrument, ts_us//{H}*{H} start_us, {", ".join(f"arg_min({s}, (ts_us, source_row)) {s}_open, max({s}) {s}_high, min({s}) {s}_low, arg_max({s}, (ts_us, source_row)) {s}_close" for s in ("bid", "ask"))}, count(*) tick_count, max(available_us) received FROM t GROUP BY 1,2),
-b AS (SELECT * EXCLUDE (received), start_us+{H} end_us, greatest(start_us+{H}, received) available_us, (bid_open+ask_open)/2 open, (bid_high+ask_high)/2 high, (bid_low+ask_low)/2 low, (bid_close+ask_close)/2 "close" FROM rb)"""
-PARENTS = f""", rp AS (SELECT instrument, start_us//{4 * H}*{4 * H} start_us, {", ".join(f"arg_min({s}_open, start_us) {s}_open, max({s}_high) {s}_high, min({s}_low) {s}_low, arg_max({s}_close, start_us) {s}_close" for s in ("bid", "ask"))}, sum(tick_count)::BIGINT tick_count, count(*) n, max(available_us) available_us, arg_max(start_us, (available_us, start_us)) last_known_child_us FROM b GROUP BY 1, start_us//{4 * H}*{4 * H} HAVING count(*)=4),
-p AS (SELECT * EXCLUDE (n), start_us+{4 * H} end_us, (bid_open+ask_open)/2 open, (bid_high+ask_high)/2 high, (bid_low+ask_low)/2 low, (bid_close+ask_close)/2 "close" FROM rp)"""
+OHLC = (("open", "arg_min({}, {})"), ("high", "max({})"), ("low", "min({})"), ("close", "arg_max({}, {})"))
+MIDS = ", ".join(f'(bid_{p}+ask_{p})/2 "{p}"' for p in ("open", "high", "low", "close"))
+
+
+def bars_sql(quotes: str, width: int) -> str:
+    cells = ", ".join(f.format(s, "(ts_us, source_row)") + f" {s}_{p}" for s in ("bid", "ask") for p, f in OHLC)
+    return quotes + f""", rb AS (SELECT instrument, ts_us//{width}*{width} start_us, {cells}, count(*) tick_count, max(available_us) received FROM t GROUP BY 1,2),
+b AS (SELECT * EXCLUDE (received), start_us+{width} end_us, greatest(start_us+{width}, received) available_us, {MIDS} FROM rb)"""
+
+
+def parents_sql(width: int) -> str:
+    """Parents of four bars of a width."""
+    cells = ", ".join(f.format(f"{s}_{p}", "start_us") + f" {s}_{p}" for s in ("bid", "ask") for p, f in OHLC)
+    return f""", rp AS (SELECT instrument, start_us//{4 * width}*{4 * width} start_us, {cells}, sum(tick_count)::BIGINT tick_count, count(*) n,
+  max(available_us) available_us, arg_max(start_us, (available_us, start_us)) last_known_child_us FROM b GROUP BY 1, start_us//{4 * width}*{4 * width} HAVING count(*)=4),
+p AS (SELECT * EXCLUDE (n), start_us+{4 * width} end_us, {MIDS} FROM rp)"""
+
+
+BARS, PARENTS = bars_sql(TICKS, H), parents_sql(H)
 W = "(PARTITION BY instrument ORDER BY start_us)"
 
 
@@ -351,9 +366,15 @@ def as_of_filter(spark, folder):
     return B.visible(raw_bars(spark, folder), AS_OF).select("instrument", "start_us")
 
 
-@query(f"WITH {BARS} SELECT instrument, max(start_us) FILTER (available_us<={AS_OF}) last_visible_us, min(start_us) FILTER (available_us>{AS_OF}) first_hidden_us FROM b GROUP BY 1 HAVING max(start_us) FILTER (available_us<={AS_OF})>min(start_us) FILTER (available_us>{AS_OF})")
+@query(
+    f"""WITH {BARS}, l AS (SELECT instrument, start_us, available_us+CASE WHEN start_us//{H}%3=0 THEN {5 * H} ELSE 0 END k FROM b)
+SELECT instrument, max(start_us) FILTER (k<={AS_OF}) last_visible_us, min(start_us) FILTER (k>{AS_OF}) first_hidden_us FROM l GROUP BY 1
+HAVING max(start_us) FILTER (k<={AS_OF})>min(start_us) FILTER (k>{AS_OF})"""
+)
 def broken_prefix(spark, folder):
-    return B.broken_prefix(raw_bars(spark, folder), AS_OF)
+    """Checks bars of which every third is late by five hours on purpose."""
+    late = F.when(F.floor(F.col("start_us") / H) % 3 == 0, 5 * H).otherwise(0)
+    return B.broken_prefix(raw_bars(spark, folder).withColumn("available_us", F.col("available_us") + late), AS_OF)
 
 
 @query(f"WITH {BARS}{PARENTS} SELECT instrument, timeframe, start_us, end_us, available_us, row_number() OVER (PARTITION BY instrument ORDER BY available_us, end_us, timeframe, start_us) seen_no FROM (SELECT instrument, 0 timeframe, start_us, end_us, available_us FROM p UNION ALL SELECT instrument, 1, start_us, end_us, available_us FROM b)")
@@ -468,12 +489,19 @@ def cube_counts(spark, folder):
     return table(spark, folder, "orders").cube("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lowest"))
 
 
-@query(f"WITH {DISTINCT_TICKS}, {MERGED}, e AS (SELECT DISTINCT export_id, calendar_id FROM tick_exports) SELECT x.export_id, count(*) n_ticks FROM x JOIN e USING (export_id) JOIN mc ON mc.calendar_id=e.calendar_id AND epoch_us(ts)>=a AND epoch_us(ts)<z GROUP BY 1")
+MOVED = 24 * H  # no tick lies in a closure, so the check gets them moved by a day
+
+
+@query(
+    f"""WITH {DISTINCT_TICKS}, {MERGED}, e AS (SELECT DISTINCT export_id, calendar_id FROM tick_exports)
+SELECT x.export_id, count(*) n_ticks FROM x JOIN e USING (export_id) JOIN mc ON mc.calendar_id=e.calendar_id
+  AND epoch_us(ts)+{MOVED}>=a AND epoch_us(ts)+{MOVED}<z GROUP BY 1"""
+)
 def ticks_in_closures(spark, folder):
     from quotemill.operators.shards import micros
 
     e = table(spark, folder, "tick_exports").select("export_id", "calendar_id").distinct()
-    t = table(spark, folder, "bid_ask_ticks").select("tick_id", "export_id", micros(F.col("ts")).alias("ts_us")).distinct()
+    t = table(spark, folder, "bid_ask_ticks").select("tick_id", "export_id", (micros(F.col("ts")) + MOVED).alias("ts_us")).distinct()
     d = J.salted_join(t, e, ["export_id"], F.col("tick_id"), "inner")
     return S.in_closures(d, table(spark, folder, "session_closures"), "ts_us").groupBy("export_id").agg(F.count("*").alias("n_ticks"))
 
@@ -581,3 +609,40 @@ def exit_plans(spark, folder):
     x = x.select("instrument", "start_us", "direction", "reason", "stop", F.size("targets").cast("long").alias("n"), F.get("targets", F.lit(0)).alias("first_target"))
     x = x.withColumn("n_targets", F.when(F.col("n") >= 0, F.col("n"))).drop("n")
     return rounded(x, "stop", "first_target")
+
+
+# Bars of the feeds' own ticks, with their copies, nulls, impossible prices and late rows.
+FEED_TICKS = """t AS (SELECT feed_id instrument, epoch_us(ts) ts_us, source_row, bid, ask, min(epoch_us(available_at)) available_us FROM bid_ask_ticks
+  WHERE feed_id IS NOT NULL AND ts IS NOT NULL AND source_row IS NOT NULL AND isfinite(bid) AND isfinite(ask) AND bid>0 AND bid<=ask GROUP BY tick_id, feed_id, ts, source_row, bid, ask)"""
+FEED_BARS, FEED_HOURS = bars_sql(FEED_TICKS, Q), parents_sql(Q)
+SHAPE = ("instrument", "start_us", "end_us", "available_us", *[f"{s}_{p}" for s in ("bid", "ask") for p in B.PRICES], "tick_count")
+
+
+def feed_quarters(spark, folder):
+    return B.ticks_to_bars(B.ticks_of_feeds(table(spark, folder, "bid_ask_ticks")), Q)
+
+
+@query(f"WITH {FEED_BARS} SELECT {', '.join(SHAPE)} FROM b")
+def feed_bars_m15(spark, folder):
+    return feed_quarters(spark, folder).select(*SHAPE)
+
+
+@query(f"WITH {FEED_BARS}{FEED_HOURS} SELECT {', '.join(SHAPE)}, last_known_child_us FROM p")
+def feed_bars_h1(spark, folder):
+    return B.bars_to_parents(feed_quarters(spark, folder), Q).select(*SHAPE, "last_known_child_us")
+
+
+@query(f"WITH {FEED_BARS} SELECT instrument, prev gap_start_us, start_us gap_end_us FROM (SELECT *, lag(end_us) OVER {W} prev FROM b) WHERE prev<start_us")
+def feed_gaps(spark, folder):
+    return B.gaps(feed_quarters(spark, folder))
+
+
+@query(f"WITH RECURSIVE {FEED_BARS}{TR.format('b')}, {recur('q', 'tr', '1/14.0', 14, 'atr', 'r')} SELECT q.instrument, start_us, round(y,5) atr, known available_us FROM q JOIN r USING (instrument, rn)")
+def feed_atr_m15(spark, folder):
+    d = I.with_atr(B.with_mids(feed_quarters(spark, folder))).where("atr is not null")
+    return rounded(d, "atr", places=5).select("instrument", "start_us", "atr", F.col("atr_known_us").alias("available_us"))
+
+
+@query(f"WITH {FEED_BARS}{FEED_HOURS}{pivot_sql('p', 3, 3)} SELECT instrument, start_us, confirmed_us, available_us, kind, round(price,6) price FROM pv")
+def feed_pivots_h1(spark, folder):
+    return rounded(I.pivots(B.with_mids(B.bars_to_parents(feed_quarters(spark, folder), Q))), "price")

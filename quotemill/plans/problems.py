@@ -24,6 +24,11 @@ def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(feeds, "tick_id").groupBy("feed_id", "reason").agg(F.count("*").alias("n_ticks"))
 
 
+def p1_impossible(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks by feed that no price can be: the part of p1 that needs no forecast."""
+    return p1_reasons(spark, folder).where("reason = 'impossible'").select("feed_id", "n_ticks")
+
+
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid(table(spark, folder, "bid_ask_ticks"), table(spark, folder, "tick_exports"), table(spark, folder, "session_closures"))
 
@@ -64,7 +69,7 @@ def p5_stamps(spark: SparkSession, folder: str) -> DataFrame:
     return _stamps(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_impossible, p3_found, p3_grid, p4_found, p4_rejects, p4_loaded, p5_found, p5_stamps)}
 
 Q = 900_000_000
 GRID = f"""WITH t AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks), b AS (SELECT export_id, s, count(*) n, max(u) last_us, max(gap) mg FROM (SELECT export_id, epoch_us(ts) u, epoch_us(ts)//{Q}*{Q} s, epoch_us(ts)-epoch_us(lag(ts) OVER (PARTITION BY export_id, epoch_us(ts)//{Q} ORDER BY ts, source_row)) gap FROM t) GROUP BY 1,2),
@@ -79,8 +84,24 @@ c AS (SELECT *, try_cast(v[3] AS DOUBLE) bid, try_cast(v[4] AS DOUBLE) ask, try_
 k AS (SELECT file_id, source_row, coalesce(len(v)=n AND regexp_full_match(v[1], '[0-9]{{4}}\\.[0-9]{{2}}\\.[0-9]{{2}}') AND try_cast(replace(v[1], '.', '-') AS DATE) IS NOT NULL AND regexp_full_match(v[2], '([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]{{1,3}})?')
 AND regexp_full_match(v[3], {NUMBER}) AND regexp_full_match(v[4], {NUMBER}) AND isfinite(bid) AND isfinite(ask) AND bid>0 AND ask>=bid AND (v[5]='' OR regexp_full_match(v[5], {NUMBER}) AND isfinite(lst) AND lst>=0) AND (v[6]='' OR regexp_full_match(v[6], {NUMBER}) AND isfinite(vol) AND vol>=0)
 AND (n<7 OR regexp_full_match(v[7], '[0-9]{{1,3}}') AND try_cast(v[7] AS INT) & ~126 = 0), false) valid FROM c)"""
+WHY_PRICE = """CASE WHEN NOT regexp_full_match({0}, {1}) THEN '{2}: not a number' WHEN {3} IS NULL OR NOT isfinite({3}) THEN '{2}: not finite' WHEN {3}<=0 THEN '{2}: not positive' END"""
+WHY_SIZE = """CASE WHEN {0}='' THEN NULL WHEN NOT regexp_full_match({0}, {1}) THEN '{2}: not a number' WHEN {3} IS NULL OR NOT isfinite({3}) THEN '{2}: not finite' WHEN {3}<0 THEN '{2}: negative' END"""
+REJECTS = LINES + f""", q AS (SELECT l.file_id, l.source_row, l.body, r.line, string_split(body, d) raw FROM l JOIN raw_tick_lines r ON r.file_id=l.file_id AND r.source_row=l.source_row),
+w AS (SELECT c.*, q.line, len(list_filter(raw, lambda x: contains(x, '"') AND NOT regexp_full_match(x, '"[^"]*"')))>0 stray FROM c JOIN q USING (file_id, source_row)),
+y AS (SELECT *, CASE WHEN line IS NULL THEN 'null line' WHEN stray THEN 'broken quoting' WHEN len(v)<>n THEN 'wrong column count' ELSE coalesce(
+  CASE WHEN NOT regexp_full_match(v[1], '[0-9]{{4}}\\.[0-9]{{2}}\\.[0-9]{{2}}') THEN 'date: date not yyyy.MM.dd' WHEN try_cast(replace(v[1], '.', '-') AS DATE) IS NULL THEN 'date: no real day' END,
+  CASE WHEN NOT regexp_full_match(v[2], '([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]{{1,3}})?') THEN 'time: time not HH:mm:ss with at most three decimals' END,
+  {WHY_PRICE.format("v[3]", NUMBER, "bid", "bid")}, {WHY_PRICE.format("v[4]", NUMBER, "ask", "ask")}, {WHY_SIZE.format("v[5]", NUMBER, "last", "lst")}, {WHY_SIZE.format("v[6]", NUMBER, "volume", "vol")},
+  CASE WHEN n<7 THEN NULL WHEN NOT regexp_full_match(v[7], '[0-9]{{1,3}}') THEN 'flags: flags not one to three digits' WHEN try_cast(v[7] AS INT) & ~126 <> 0 THEN 'flags: unknown flag bits' END,
+  CASE WHEN ask<bid THEN 'ask below bid' END) END reason FROM w)"""
 SQL: dict[str, str] = {
     "p3_found": GRID + " SELECT export_id, bucket_start_us FROM r WHERE status='missing'",
     "p3_grid": GRID + " SELECT * FROM r",
+    "p1_impossible": """SELECT feed_id, count(*) n_ticks FROM (SELECT DISTINCT tick_id, feed_id, bid, ask FROM bid_ask_ticks)
+        WHERE NOT isfinite(bid) OR NOT isfinite(ask) OR bid<=0 OR ask<=0 OR (NOT isnan(bid) AND NOT isnan(ask) AND ask<bid) GROUP BY 1""",
+    "p4_rejects": REJECTS + " SELECT file_id, source_row, reason, line FROM y WHERE reason IS NOT NULL",
+    "p4_loaded": REJECTS
+    + """ SELECT file_id, source_row, try_cast(replace(v[1], '.', '-')||' '||v[2] AS TIMESTAMP) local_time, bid, ask, lst "last", vol volume,
+        CASE WHEN n=7 THEN try_cast(v[7] AS INT) END flags FROM y WHERE reason IS NULL""",
     "p4_found": LINES + " SELECT file_id, source_row FROM k WHERE NOT valid",
 }
