@@ -158,13 +158,26 @@ def crossover(line: str = "ema", reference: str = "current") -> Column:
     return F.when((before <= line_before) & (F.col("close") > ref), 1).when((before >= line_before) & (F.col("close") < ref), -1).otherwise(0)
 
 
-def confirmations(bars: DataFrame, period: int = 8, lookback: int = 20, multiple: float = 1.2, combination: str = "or") -> DataFrame:
+def confirmations(
+    bars: DataFrame,
+    period: int = 8,
+    lookback: int = 20,
+    multiple: float = 1.2,
+    combination: str = "or",
+    seed: str = "mean",
+    reference: str = "current",
+    strict: bool = False,
+    median: str = "mean",
+    inclusive: bool = False,
+) -> DataFrame:
     """Crossovers of the EMA that an engulfing or a displacement candle of the same direction proves, by the chosen combination.
 
-    combination: engulfing, displacement, or, and. patterns lists what proves it; available_us is that of the EMA's last input.
+    combination: engulfing, displacement, or, and. seed is the EMA's, reference the crossover's, strict the engulfing candle's,
+    lookback, multiple, median and inclusive the displacement's. patterns lists what proves it; available_us is that of the EMA's last input.
     """
-    d = ema(bars.withColumn("body", F.abs(F.col("close") - F.col("open"))), period)
-    d = d.withColumn("cross", crossover()).withColumn("engulf", engulfing()).withColumn("displace", displacement(lookback, multiple)).withColumn("known_us", F.max("available_us").over(since_start()))
+    d = ema(bars.withColumn("body", F.abs(F.col("close") - F.col("open"))), period, seed=seed)
+    big = displacement(lookback, multiple, median, inclusive)
+    d = d.withColumn("cross", crossover(reference=reference)).withColumn("engulf", engulfing(strict)).withColumn("displace", big).withColumn("known_us", F.max("available_us").over(since_start()))
     e, p = F.col("engulf") == F.col("cross"), F.col("displace") == F.col("cross")
     proof = {"engulfing": e, "displacement": p, "or": e | p, "and": e & p}[combination]
     named = F.concat_ws("+", F.when(e & F.lit(combination != "displacement"), "engulfing"), F.when(p & F.lit(combination != "engulfing"), "displacement"))

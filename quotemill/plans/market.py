@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,10 +218,10 @@ def regimes(spark, folder):
     return I.regimes(I.pivots(base(spark, folder)))
 
 
-def seen_regimes(b):
+def seen_regimes(b, inclusive=True):
     found = stored(I.regimes(I.pivots(b)).withColumnRenamed("start_us", "structure_us"), "regimes")
     left = b.select("instrument", "start_us", F.col("available_us").alias("seen_us"))
-    return J.as_of_latest(left, found, ["instrument"], "seen_us", "available_us", ["structure_us", "available_us"], ["structure_us", "regime"])
+    return J.as_of_latest(left, found, ["instrument"], "seen_us", "available_us", ["structure_us", "available_us"], ["structure_us", "regime"], inclusive)
 
 
 ASOF = ", sr AS (SELECT b.instrument, b.start_us, max(rg.start_us) structure_us, arg_max(rg.regime, (rg.start_us, rg.available_us)) regime FROM b LEFT JOIN rg ON rg.instrument=b.instrument AND rg.available_us<=b.available_us GROUP BY 1,2)"
@@ -295,7 +297,7 @@ EPISODES = f"""{INVALID}, bn AS (SELECT *, row_number() OVER {W} rn, (available_
 bl AS (SELECT x.*, y.k nk FROM bn x LEFT JOIN bn y ON y.instrument=x.instrument AND y.rn=x.rn+1),
 tc AS (SELECT zn.*, iv.ended_key, bl.rn, bl.start_us b_us, bl.end_us b_end, bl.available_us b_known, nk, (nk IS NOT NULL AND (iv.ended_key IS NULL OR nk<iv.ended_key)) lets_go, bl.rn-row_number() OVER (PARTITION BY zn.instrument, zn.impulse_us, zn.direction ORDER BY bl.rn) island FROM zn LEFT JOIN iv ON iv.instrument=zn.instrument AND iv.impulse_us=zn.impulse_us AND iv.direction=zn.direction JOIN bl ON bl.instrument=zn.instrument AND bl.start_us>=zn.available_us AND (iv.ended_key IS NULL OR bl.k<iv.ended_key) AND bl.low<=zn.upper AND bl.high>=zn.lower),
 eq AS (SELECT instrument, impulse_us, direction, island, any_value(origin_us) origin_us, min(b_us) first_touch_us, min(b_end) first_touch_end_us, max(b_end) last_touch_end_us, count(*) n_bars, arg_min(b_known, rn) available_us, arg_max(lets_go, rn) lets_go, any_value(ended_key) ended_key FROM tc GROUP BY 1,2,3,4),
-ep AS (SELECT instrument, impulse_us, direction, origin_us, row_number() OVER (PARTITION BY instrument, impulse_us, direction ORDER BY first_touch_us) ordinal, first_touch_us, first_touch_end_us, last_touch_end_us, n_bars, available_us, CASE WHEN lets_go THEN 'left' WHEN ended_key IS NOT NULL THEN 'invalidated' END ended, ended_key[1] invalid_from_us FROM eq)"""
+ep AS (SELECT instrument, impulse_us, direction, origin_us, row_number() OVER (PARTITION BY instrument, impulse_us, direction ORDER BY first_touch_us) ordinal, first_touch_us, first_touch_end_us, last_touch_end_us, n_bars, available_us, CASE WHEN lets_go THEN 'left' WHEN ended_key IS NOT NULL THEN 'invalidated' END ended, ended_key[1] invalid_from_us, ended_key FROM eq)"""
 
 
 def found_episodes(b, p):
@@ -340,6 +342,90 @@ def candidate_decisions(spark, folder):
     return all_decisions(spark, folder)
 
 
+VARIANTS = {
+    "default": {},
+    "one_prior": {"prior_touches": 1, "expiry": 6},
+    "touch_bar_excluded": {"minimum": 1, "expiry": 6},
+    "base_first": {"parents_first": False, "expiry": 6, "all_zones": True},
+}
+
+
+def candidates_sql(expiry: int = 2, minimum: int = 0, prior_touches: int = 0, all_zones: bool = False, parents_first: bool = True) -> str:
+    """Reasons and selected zones of each bar, by looking at every touch and zone for each confirmation."""
+    episodes, asof = EPISODES, ASOF
+    if not parents_first:
+        episodes = episodes.replace("p.end_us, 0, p.start_us", "p.end_us, 1, p.start_us").replace("end_us, 1, start_us) k", "end_us, 0, start_us) k")
+        asof = asof.replace("rg.available_us<=b.available_us", "rg.available_us<b.available_us")
+    text = RETESTS.replace(EPISODES, episodes) + pivot_sql("b", 3, 3) + REGIMES + asof
+    same = "s.instrument=a.instrument AND s.direction=a.direction"
+    return f"""{text},
+ca AS (SELECT bl.instrument, bl.start_us, bl.end_us, bl.available_us, bl.k, bl.low, bl.high, cn.direction, sr.regime FROM bl
+  LEFT JOIN cn ON cn.instrument=bl.instrument AND cn.start_us=bl.start_us AND cn.available_us<=bl.end_us LEFT JOIN sr ON sr.instrument=bl.instrument AND sr.start_us=bl.start_us),
+cs AS (SELECT *, first_touch_end_us touch_end FROM ep WHERE ordinal<={1 + prior_touches}),
+ct AS (SELECT a.*, t.* EXCLUDE (instrument, start_us), EXISTS (SELECT 1 FROM zn s JOIN iv USING (instrument, impulse_us, direction) WHERE {same} AND iv.ended_key<=a.k AND a.low<=s.upper AND a.high>=s.lower) over_gone
+  FROM ca a LEFT JOIN (SELECT a.instrument, a.start_us, count(*) FILTER (back BETWEEN {minimum} AND {expiry}) n_timed, count(*) FILTER (back<{minimum}) n_soon, count(*) FILTER (back>{expiry}) n_old,
+    min(back) FILTER (lasts) newest, list({{'b': back, 'o': -origin_us, 'i': impulse_us}} ORDER BY back, -origin_us, impulse_us) FILTER (lasts) zs
+    FROM (SELECT a.instrument, a.start_us, s.origin_us, s.impulse_us, (a.end_us-s.touch_end)//{H} back, (a.end_us-s.touch_end)//{H} BETWEEN {minimum} AND {expiry} AND (s.ended_key IS NULL OR s.ended_key>a.k) lasts
+      FROM ca a JOIN cs s ON {same} AND s.touch_end<=a.end_us AND s.available_us<=a.end_us) a GROUP BY 1,2) t USING (instrument, start_us)),
+cu AS (SELECT *, CASE WHEN available_us>end_us THEN '{Z.LATE}' WHEN direction IS NULL THEN '{Z.NO_CONFIRMATION}' END alone,
+  CASE WHEN regime IS NULL THEN '{Z.NO_REGIME}' WHEN regime='unknown' THEN '{Z.UNKNOWN_REGIME}' WHEN regime='range' THEN '{Z.RANGE_REGIME}' WHEN regime<>CASE direction WHEN 1 THEN 'bullish' ELSE 'bearish' END THEN '{Z.OTHER_REGIME}' END rr,
+  CASE WHEN newest IS NOT NULL THEN NULL WHEN coalesce(n_timed,0)>0 OR over_gone THEN '{Z.INVALID}' ELSE concat_ws('+', CASE WHEN n_soon>0 THEN '{Z.TOUCH_BAR}' END, CASE WHEN n_old>0 THEN '{Z.EXPIRED}' END,
+    CASE WHEN coalesce(n_soon,0)=0 AND coalesce(n_old,0)=0 THEN '{Z.NO_RETEST}' END) END rt FROM ct),
+cv AS (SELECT *, coalesce(alone, nullif(concat_ws('+', rr, rt), ''), CASE direction WHEN 1 THEN 'buy_criteria_met' ELSE 'sell_criteria_met' END) reasons FROM cu)
+SELECT instrument, start_us, CASE reasons WHEN 'buy_criteria_met' THEN 'buy' WHEN 'sell_criteria_met' THEN 'sell' ELSE 'no_trade' END "action", reasons,
+  CASE WHEN reasons IN ('buy_criteria_met', 'sell_criteria_met') THEN {"len(list_filter(zs, lambda x: x.b=newest))" if all_zones else "1"}::BIGINT END n_zones,
+  CASE WHEN reasons IN ('buy_criteria_met', 'sell_criteria_met') THEN zs[1].i END impulse_us FROM cv"""
+
+
+def _variant(name: str):
+    how = VARIANTS[name]
+
+    @query(f"WITH RECURSIVE {BARS}{candidates_sql(**how)}")
+    def run(spark, folder):
+        b, p = stored_bars(spark, folder)
+        first = how.get("parents_first", True)
+        z = stored(Z.zones(p, **GENTLE), "zones")
+        touches = stored(Z.episodes(z, p, b, first), "touches")
+        c = stored(I.confirmations(b), "confirmations")
+        d = Z.candidates(b, c, seen_regimes(b, first), touches, z, Z.invalidations(z, p, first), **how)
+        d = d.withColumn("n_zones", F.when(F.col("selected").isNotNull(), F.size("selected").cast("long"))).withColumn("impulse_us", F.get("selected", F.lit(0)))
+        return d.select("instrument", "start_us", "action", F.array_join("reasons", "+").alias("reasons"), "n_zones", "impulse_us")
+
+    QUERIES[f"candidates_{name}"], SQL[f"candidates_{name}"] = QUERIES.pop("run"), SQL.pop("run")
+
+
+for _name in VARIANTS:
+    _variant(_name)
+
+CONFIRMING = {
+    "strict": ({"strict": True}, (('least(open,"close")<=least(po,pc) AND greatest(open,"close")>=greatest(po,pc)', 'least(open,"close")<least(po,pc) AND greatest(open,"close")>greatest(po,pc)'),)),
+    "lower_median": ({"median": "lower"}, (("((bodies[10]+bodies[11])/2)", "bodies[10]"),)),
+    "upper_median": ({"median": "upper"}, (("((bodies[10]+bodies[11])/2)", "bodies[11]"),)),
+    "inclusive": ({"inclusive": True}, (("BETWEEN 20 PRECEDING AND 1 PRECEDING", "BETWEEN 19 PRECEDING AND CURRENT ROW"),)),
+    "prior_line": ({"reference": "prior"}, (('"close">y THEN', '"close">py THEN'), ('"close"<y THEN', '"close"<py THEN'))),
+    "both": ({"combination": "and"}, (("(engulf=crossing OR displace=crossing)", "(engulf=crossing AND displace=crossing)"),)),
+}
+
+
+def _confirming_sql() -> str:
+    parts = []
+    for name, (_, changes) in CONFIRMING.items():
+        text = CROSS
+        for old, new in changes:
+            assert old in text, name
+            text = text.replace(old, new)
+        parts.append(f"SELECT '{name}' variant, * FROM (WITH RECURSIVE {BARS}{text} SELECT * FROM cn)")
+    return " UNION ALL ".join(parts)
+
+
+@query(_confirming_sql())
+def confirmation_variants(spark, folder):
+    """Confirmations under every policy that is not the default."""
+    b = stored_bars(spark, folder)[0]
+    parts = [I.confirmations(b, **how).withColumn("variant", F.lit(name)) for name, (how, _) in CONFIRMING.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(f'WITH RECURSIVE {BARS}{DECISIONS} SELECT "action", reason, count(*) n FROM de GROUP BY GROUPING SETS (("action"), (reason), ())')
 def decision_counts_grouping_sets(spark, folder):
     return all_decisions(spark, folder).groupingSets([["action"], ["reason"], []], "action", "reason").agg(F.count("*").alias("n"))
