@@ -1,8 +1,8 @@
 """Impulses, the zones that they leave, and what later bars do to them, set at a time.
 
 Zones don't depend on each other: the bar that ends a zone is a minimum over later parent bars; bars that touch it before are
-islands of neighbouring bar numbers. No state machine is needed. All joins have the instrument as equi-key; a zone meets
-only bars after it became known.
+islands of neighbouring bar numbers. No state machine is needed. Zones are joined to summaries of time slots, one row a month and
+instrument, and only to the bars of slots that matter.
 """
 
 from __future__ import annotations
@@ -59,16 +59,33 @@ def observation_key(timeframe: int, parents_first: bool = True) -> Column:
     return F.struct("available_us", "end_us", F.lit(rank).alias("timeframe"), "start_us")
 
 
-def invalidations(found: DataFrame, parents: DataFrame, parents_first: bool = True) -> DataFrame:
-    """Per zone the first parent bar, wholly after the zone became known, that closes strictly beyond its far side."""
-    p = parents.select("instrument", F.col("start_us").alias("p_us"), F.col("close").alias("p_close"), observation_key(PARENT, parents_first).alias("p_key"))
-    beyond = F.when(F.col("direction") == 1, F.col("p_close") < F.col("lower")).otherwise(F.col("p_close") > F.col("upper"))
-    return found.join(p, "instrument").where((F.col("p_us") >= F.col("available_us")) & beyond).groupBy("instrument", "impulse_us", "direction").agg(F.min("p_key").alias("ended_key"), F.min_by("p_close", "p_key").alias("ended_close"))
+SLOT_US = 30 * 24 * HOUR_US
 
 
-def episodes(found: DataFrame, parents: DataFrame, bars: DataFrame, parents_first: bool = True) -> DataFrame:
+def invalidations(found: DataFrame, parents: DataFrame, parents_first: bool = True, slot_us: int = SLOT_US) -> DataFrame:
+    """Per zone the first parent bar, wholly after the zone became known, that closes strictly beyond its far side.
+
+    First is by the order in which bars are seen. Zones meet summaries of time slots, and bars only of the slots that may hold the
+    first one: those in which some bar closes beyond, up to the first of them whose bars all lie after the zone became known.
+    """
+    slot = F.floor(F.col("available_us") / F.lit(slot_us))
+    p = parents.select("instrument", slot.alias("slot"), F.col("start_us").alias("p_us"), F.col("close").alias("p_close"), observation_key(PARENT, parents_first).alias("p_key"))
+    sums = p.groupBy("instrument", "slot").agg(F.min("p_close").alias("lowest"), F.max("p_close").alias("highest"), F.min("p_us").alias("first_us"), F.max("p_us").alias("last_us"))
+    up = F.col("direction") == 1
+    z = found.select("instrument", "impulse_us", "direction", "lower", "upper", "available_us")
+    far = z.join(sums, "instrument").where((F.col("last_us") >= F.col("available_us")) & F.when(up, F.col("lowest") < F.col("lower")).otherwise(F.col("highest") > F.col("upper")))
+    sure = F.min(F.when(F.col("first_us") >= F.col("available_us"), F.col("slot"))).over(Window.partitionBy("instrument", "impulse_us", "direction"))
+    far = far.withColumn("sure", sure).where(F.col("sure").isNull() | (F.col("slot") <= F.col("sure"))).drop("lowest", "highest", "first_us", "last_us", "sure")
+    beyond = F.when(up, F.col("p_close") < F.col("lower")).otherwise(F.col("p_close") > F.col("upper"))
+    hits = far.join(p, ["instrument", "slot"]).where((F.col("p_us") >= F.col("available_us")) & beyond)
+    return hits.groupBy("instrument", "impulse_us", "direction").agg(F.min("p_key").alias("ended_key"), F.min_by("p_close", "p_key").alias("ended_close"))
+
+
+def episodes(found: DataFrame, parents: DataFrame, bars: DataFrame, parents_first: bool = True, slot_us: int = SLOT_US) -> DataFrame:
     """Contiguous touches of each zone while it lasts: ordinal, first and last touching bar, how the episode ended.
 
+    Zones meet summaries of time slots first, then the bars of those slots of their life whose range reaches them.
+
     ended: ``left`` (the next bar seen while the zone lasts doesn't touch), ``invalidated``, or null while open.
     """
     numbered = bars.withColumn("bar_no", F.row_number().over(by_instrument()))
@@ -76,7 +93,12 @@ def episodes(found: DataFrame, parents: DataFrame, bars: DataFrame, parents_firs
     b = numbered.select("instrument", "bar_no", F.col("start_us").alias("b_us"), F.col("end_us").alias("b_end_us"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("available_us").alias("b_known_us"), observation_key(BASE, parents_first).alias("b_key"), next_key.alias("next_key"))
     lasting = found.join(invalidations(found, parents, parents_first), ["instrument", "impulse_us", "direction"], "left")
     meets = (F.col("b_us") >= F.col("available_us")) & (F.col("ended_key").isNull() | (F.col("b_key") < F.col("ended_key"))) & (F.col("b_low") <= F.col("upper")) & (F.col("b_high") >= F.col("lower"))
-    touch = lasting.join(b, "instrument").where(meets)
+    b = b.withColumn("slot", F.floor(F.col("b_us") / F.lit(slot_us)))
+    sums = b.groupBy("instrument", "slot").agg(F.min("b_low").alias("lowest"), F.max("b_high").alias("highest"), F.max("b_us").alias("last_us"), F.min("b_us").alias("first_us"))
+    alive = (F.col("last_us") >= F.col("available_us")) & (F.col("ended_key").isNull() | (F.col("first_us") < F.col("ended_key.available_us")))
+    reached = (F.col("lowest") <= F.col("upper")) & (F.col("highest") >= F.col("lower"))
+    near = lasting.join(sums, "instrument").where(alive & reached).drop("lowest", "highest", "first_us", "last_us")
+    touch = near.join(b, ["instrument", "slot"]).where(meets)
     zone = ["instrument", "impulse_us", "direction"]
     w = Window.partitionBy(*zone).orderBy("bar_no")
     island = touch.withColumn("island", F.col("bar_no") - F.row_number().over(w)).groupBy(*zone, "island").agg(

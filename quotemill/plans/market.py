@@ -522,11 +522,19 @@ def schedule_filter(spark, folder):
     return table(spark, folder, "events").select("event_id", week.alias("iso_week"), day.cast("int").alias("weekday"), ok.alias("scheduled"))
 
 
-@query(f"WITH {BARS} SELECT instrument, sha256(string_agg(start_us::VARCHAR||':'||tick_count::VARCHAR, chr(10) ORDER BY start_us)) fingerprint FROM b GROUP BY 1")
+MONTH = 30 * 24 * H
+
+
+@query(
+    f"""WITH {BARS}, c AS (SELECT instrument, start_us//{MONTH} part, sha256(string_agg(start_us::VARCHAR||':'||tick_count::VARCHAR, chr(10) ORDER BY start_us)) h FROM b GROUP BY 1,2)
+SELECT instrument, sha256(string_agg(h, chr(10) ORDER BY part)) fingerprint FROM c GROUP BY 1"""
+)
 def ordered_fingerprint(spark, folder):
+    """Hash of an instrument's bars in order: of the hashes of its stretches of 30 days, so that no task holds more than one."""
     row = F.struct("start_us", F.concat(F.col("start_us").cast("string"), F.lit(":"), F.col("tick_count").cast("string")).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"])
-    return raw_bars(spark, folder).groupBy("instrument").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["line"]), "\n"), 256)
+    parts = raw_bars(spark, folder).groupBy("instrument", F.floor(F.col("start_us") / MONTH).alias("part")).agg(joined(row).alias("line"))
+    return parts.groupBy("instrument").agg(joined(F.struct("part", "line")).alias("fingerprint"))
 
 
 DISTINCT_TICKS = "x AS (SELECT DISTINCT ON (tick_id) * FROM bid_ask_ticks)"

@@ -68,3 +68,8 @@ def test_episodes_equal_a_bar_by_bar_account(spark):
     got = {(r.impulse_us, r.direction, r.ordinal, r.first_touch_us, r.last_touch_end_us, r.ended) for r in Z.episodes(z, p, b).collect()}
     want = sequential(z.collect(), p.collect(), b.collect())
     assert got == want and len(got) > 10
+    for width in (3, 17):
+        cut = Z.episodes(z, p, b, slot_us=width * B.HOUR_US).collect()
+        assert {(r.impulse_us, r.direction, r.ordinal, r.first_touch_us, r.last_touch_end_us, r.ended) for r in cut} == want
+        ended = lambda w: sorted(map(str, Z.invalidations(z, p, slot_us=w).collect()))
+        assert ended(width * B.HOUR_US) == ended(10**6 * B.HOUR_US)
