@@ -143,3 +143,53 @@ def broken_prefix(bars: DataFrame, as_of_us: int) -> DataFrame:
     """Instruments whose bars known at as_of_us are no prefix: a later bar is visible while an earlier one is not."""
     seen = F.col("available_us") <= as_of_us
     return bars.groupBy("instrument").agg(F.max(F.when(seen, F.col("start_us"))).alias("last_visible_us"), F.min(F.when(~seen, F.col("start_us"))).alias("first_hidden_us")).where("last_visible_us > first_hidden_us")
+
+
+def preflight(bars: DataFrame, period_us: int = HOUR_US // 4, children: int = 4, minimum: int = 100, known_at_close: bool = False) -> DataFrame:
+    """(instrument, code, start_us, n) of everything that keeps an instrument's bars from being replayed as a whole.
+
+    By bar: invalid_duration, invalid_alignment, invalid_order, availability_before_close, availability_order and, with known_at_close,
+    availability_must_equal_close. By instrument (start_us null): partial_hour_start, partial_hour_end, incomplete_hours; if all
+    intervals are in order also data_gaps (n: how many) and insufficient_history (n: rows in complete parents of the longest stretch),
+    else segments_unavailable. n is 1 elsewhere. Bars need start, end and availability.
+    """
+    width = period_us * children
+    w = by_instrument()
+    d = bars.select("instrument", "start_us", "end_us", "available_us", F.lag("end_us").over(w).alias("before_us"), F.lag("available_us").over(w).alias("known_before"))
+    rules = {
+        "invalid_duration": F.col("end_us") - F.col("start_us") != period_us,
+        "invalid_alignment": F.col("start_us") % period_us != 0,
+        "invalid_order": F.col("start_us") < F.col("before_us"),
+        "availability_before_close": F.col("available_us") < F.col("end_us"),
+        "availability_order": F.col("available_us") < F.col("known_before"),
+        "availability_must_equal_close": F.lit(known_at_close) & (F.col("available_us") != F.col("end_us")),
+    }
+    d = d.withColumn("codes", F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()])))
+    one = F.lit(1).cast("long").alias("n")
+    rows = d.select("instrument", F.explode("codes").alias("code"), "start_us", one)
+    wrong = F.arrays_overlap("codes", F.array(*[F.lit(c) for c in ("invalid_duration", "invalid_alignment", "invalid_order")]))
+    gap = F.coalesce(F.col("before_us") < F.col("start_us"), F.lit(False))
+    d = d.withColumn("gap", gap).withColumn("segment", F.sum(gap.cast("int")).over(w))
+    parts = d.groupBy("instrument", "segment").agg(
+        F.min("start_us").alias("first"), F.max("end_us").alias("last"), F.count("*").alias("rows"), F.bool_or(wrong).alias("wrong"), F.count_if("gap").alias("gaps")
+    )
+    whole = F.greatest(F.lit(0), F.floor(F.col("last") / width) - F.ceil(F.col("first") / width)) * children
+    all_ = parts.groupBy("instrument").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("rows").alias("rows"), F.bool_or("wrong").alias("wrong"), F.sum("gaps").alias("gaps"), F.max(whole).alias("longest")
+    )
+    said = F.array(
+        F.when(F.col("first") % width != 0, F.struct(F.lit("partial_hour_start").alias("code"), one)),
+        F.when(F.col("last") % width != 0, F.struct(F.lit("partial_hour_end").alias("code"), one)),
+        F.when(F.col("rows") % children != 0, F.struct(F.lit("incomplete_hours").alias("code"), one)),
+        F.when(F.col("wrong"), F.struct(F.lit("segments_unavailable").alias("code"), one)),
+        F.when(~F.col("wrong") & (F.col("gaps") > 0), F.struct(F.lit("data_gaps").alias("code"), F.col("gaps").cast("long").alias("n"))),
+        F.when(~F.col("wrong") & (F.col("longest") < minimum), F.struct(F.lit("insufficient_history").alias("code"), F.col("longest").cast("long").alias("n"))),
+    )
+    each = all_.select("instrument", F.explode(F.array_compact(said)).alias("x")).select("instrument", "x.code", F.lit(None).cast("long").alias("start_us"), "x.n")
+    return rows.unionByName(each)
+
+
+def usable_suffix(bars: DataFrame) -> DataFrame:
+    """The bars of each instrument after its last gap."""
+    last = F.max("segment").over(Window.partitionBy("instrument"))
+    return segments(bars).withColumn("last", last).where(F.col("segment") == F.col("last")).drop("segment", "last")

@@ -68,20 +68,20 @@ def closures_by_day(closures: DataFrame) -> DataFrame:
 SHARD_PERIODS = 4096
 
 
-def _carry_last(filled: DataFrame, period_us: int) -> DataFrame:
+def _carry_last(filled: DataFrame, period_us: int, shard_periods: int) -> DataFrame:
     """Add previous_us, the last reading before each period.
 
-    Time shards of SHARD_PERIODS periods are filled independently; the carry into each is a prefix scan over the shards'
+    Time shards of ``shard_periods`` periods are filled independently; the carry into each is a prefix scan over the shards'
     last readings, a table of one row per source and shard.
     """
-    rows = filled.withColumn("shard", F.floor(F.col("bucket_start_us") / F.lit(period_us * SHARD_PERIODS)))
+    rows = filled.withColumn("shard", F.floor(F.col("bucket_start_us") / F.lit(period_us * shard_periods)))
     inside = Window.partitionBy("export_id", "shard").orderBy("bucket_start_us").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("export_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy("export_id", "shard").agg(F.max("last_us").alias("shard_last_us")).withColumn("carry_us", F.last("shard_last_us", True).over(across)).select("export_id", "shard", "carry_us")
     return rows.withColumn("local_us", F.last("last_us", True).over(inside)).join(carry, ["export_id", "shard"], "left").withColumn("previous_us", F.coalesce("local_us", "carry_us"))
 
 
-def regular_grid(ticks: DataFrame, exports: DataFrame, closures: DataFrame, period_us: int = PERIOD_US) -> DataFrame:
+def regular_grid(ticks: DataFrame, exports: DataFrame, closures: DataFrame, period_us: int = PERIOD_US, shard_periods: int = SHARD_PERIODS) -> DataFrame:
     """One row per export and UTC period wholly within its coverage.
 
     tick_count counts each tick once, with any prices and however late. maximum_intertick_seconds is the longest gap
@@ -96,7 +96,7 @@ def regular_grid(ticks: DataFrame, exports: DataFrame, closures: DataFrame, peri
     grid = covered.select("export_id", "feed_id", "calendar_id", F.explode(F.sequence("a", "b", p)).alias("bucket_start_us"))
     filled = grid.join(period_summaries(ticks, period_us), ["export_id", "bucket_start_us"], "left")
     shut = closures_by_day(closures)
-    rows = _carry_last(filled, period_us).withColumn("day", F.floor(F.col("bucket_start_us") / DAY_US)).join(shut, ["calendar_id", "day"], "left")
+    rows = _carry_last(filled, period_us, shard_periods).withColumn("day", F.floor(F.col("bucket_start_us") / DAY_US)).join(shut, ["calendar_id", "day"], "left")
     start, end = F.col("bucket_start_us"), F.col("bucket_start_us") + period_us
     rows = rows.withColumn("closed", F.exists("shut", lambda c: (c["start_us"] <= start) & (c["end_us"] >= end)))
     return rows.select(

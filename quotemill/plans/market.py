@@ -740,3 +740,23 @@ def feed_atr_m15(spark, folder):
 @query(f"WITH {FEED_BARS}{FEED_HOURS}{pivot_sql('p', 3, 3)} SELECT instrument, start_us, confirmed_us, available_us, kind, round(price,6) price FROM pv")
 def feed_pivots_h1(spark, folder):
     return rounded(I.pivots(B.with_mids(B.bars_to_parents(feed_quarters(spark, folder), Q))), "price")
+
+
+@query(
+    f"""WITH {FEED_BARS}, c AS (SELECT *, lag(end_us) OVER {W} pe, lag(available_us) OVER {W} pa FROM b), d AS (SELECT *, coalesce(pe<start_us, false) gap FROM c),
+e AS (SELECT *, sum(gap::INT) OVER (PARTITION BY instrument ORDER BY start_us ROWS UNBOUNDED PRECEDING) seg FROM d),
+f AS (SELECT instrument, seg, min(start_us) a, max(end_us) z, count(*) n, count(*) FILTER (gap) g FROM e GROUP BY 1,2),
+h AS (SELECT instrument, min(a) a, max(z) z, sum(n) n, sum(g)::BIGINT g, max(greatest(0, z//{4 * Q}-(a+{4 * Q}-1)//{4 * Q})*4)::BIGINT longest FROM f GROUP BY 1)
+SELECT instrument, 'availability_order' code, start_us, 1::BIGINT n FROM c WHERE available_us<pa
+UNION ALL SELECT instrument, 'availability_must_equal_close', start_us, 1 FROM c WHERE available_us<>end_us
+UNION ALL SELECT instrument, 'partial_hour_start', NULL, 1 FROM h WHERE a%{4 * Q}<>0 UNION ALL SELECT instrument, 'partial_hour_end', NULL, 1 FROM h WHERE z%{4 * Q}<>0
+UNION ALL SELECT instrument, 'incomplete_hours', NULL, 1 FROM h WHERE n%4<>0 UNION ALL SELECT instrument, 'data_gaps', NULL, g FROM h WHERE g>0
+UNION ALL SELECT instrument, 'insufficient_history', NULL, longest FROM h WHERE longest<100"""
+)
+def feed_preflight(spark, folder):
+    return B.preflight(feed_quarters(spark, folder), Q, known_at_close=True)
+
+
+@query(f"WITH {FEED_BARS}, g AS (SELECT *, lag(end_us) OVER {W} pe FROM b), l AS (SELECT instrument, max(start_us) FILTER (pe<start_us) last FROM g GROUP BY 1) SELECT g.instrument, start_us FROM g JOIN l USING (instrument) WHERE start_us>=coalesce(last, start_us)")
+def feed_usable_suffix(spark, folder):
+    return B.usable_suffix(feed_quarters(spark, folder)).select("instrument", "start_us")

@@ -119,6 +119,16 @@ def test_grid_cases(spark):
     assert {k[0] for k in got} == {1, 2}
 
 
+def test_fill_shards_do_not_show(spark):
+    """A silence over several fill shards: the last reading is carried through those without any."""
+    at = (3, 4, 700, 1300)
+    ticks = frame(spark, [(i, 1, "F", T0 + dt.timedelta(minutes=m), i, 1.0, 2.0) for i, m in enumerate(at)])
+    exports = spark.createDataFrame([(1, "F", "C", T0, T0 + dt.timedelta(days=1), "x")], EXPORTS)
+    closures = spark.createDataFrame([], CLOSURES)
+    one, many = (sorted(map(tuple, regular_grid(ticks, exports, closures, shard_periods=n).collect())) for n in (4096, 5))
+    assert one == many and len(one) == 96 and one[45][-1] == (45 * 15 - 4) * 60_000_000
+
+
 def test_empty_tables(spark):
     ticks = frame(spark, [])
     exports, closures = (spark.createDataFrame([], x) for x in (EXPORTS, CLOSURES))
