@@ -760,3 +760,15 @@ def feed_preflight(spark, folder):
 @query(f"WITH {FEED_BARS}, g AS (SELECT *, lag(end_us) OVER {W} pe FROM b), l AS (SELECT instrument, max(start_us) FILTER (pe<start_us) last FROM g GROUP BY 1) SELECT g.instrument, start_us FROM g JOIN l USING (instrument) WHERE start_us>=coalesce(last, start_us)")
 def feed_usable_suffix(spark, folder):
     return B.usable_suffix(feed_quarters(spark, folder)).select("instrument", "start_us")
+
+
+@query(
+    f"""WITH {GRID}, e AS (SELECT export_id, any_value(calendar_id) calendar_id, any_value(epoch_us(coverage_end)) z_us FROM tick_exports GROUP BY 1),
+nb AS (SELECT sb.*, CASE WHEN sb.bucket_start_us+{Q}>=z_us THEN 'outside_coverage'
+  WHEN EXISTS (SELECT 1 FROM mc WHERE mc.calendar_id=e.calendar_id AND a<=sb.bucket_start_us+{Q} AND z>sb.bucket_start_us+{Q}) THEN 'inside_closure' ELSE 'scheduled_open' END next_reason
+  FROM sb JOIN e USING (export_id))
+SELECT export_id, bucket_start_us, next_reason='scheduled_open' next_open, next_reason, (next_reason='scheduled_open' AND state<>'closed' AND status='observed') next_eligible FROM nb"""
+)
+def session_next_boundaries(spark, folder):
+    exports, closures = table(spark, folder, "tick_exports"), table(spark, folder, "session_closures")
+    return S.next_boundaries(stored(buckets(spark, folder), "buckets"), exports, closures)
